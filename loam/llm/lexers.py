@@ -61,11 +61,12 @@ def _regex_may_start(src: str, at: int) -> bool:
     return True
 
 
-def scan(src: str, lang: str) -> tuple[str, list[str]]:
+def scan(src: str, lang: str, comments: list[tuple[int, int]] | None = None) -> tuple[str, list[str]]:
     """The skeleton of a source text and its lexical errors, at most one, the first.
 
     Comments become one blank (their line ends stay), string literals ``""``, template
-    literals the same around their ``${}`` parts, regex literals ``0``.
+    literals the same around their ``${}`` parts, regex literals ``0``.  The places of
+    all comments are added to ``comments``; in Python, those of its literals as well.
     """
     js = lang in ("javascript", "typescript")
     out: list[str] = []
@@ -135,6 +136,8 @@ def scan(src: str, lang: str) -> tuple[str, list[str]]:
                 out.append(" ")
             else:
                 out.append(src[at:start])
+            if comments is not None:
+                comments.append((start, pos))
             at = pos
             continue
         # literals
@@ -156,6 +159,8 @@ def scan(src: str, lang: str) -> tuple[str, list[str]]:
             break
         out.append(src[at:start])
         out.append('""')
+        if lang == "python" and comments is not None:
+            comments.append((start, pos))
         if n > 6 and "\n" in m.group():
             out.append("\n" * src.count("\n", start, pos))
         at = pos

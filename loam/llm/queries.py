@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import mixing, neighbours, percentiles, split, tokenize
+from loam.llm import docpairs, mixing, neighbours, percentiles, split, syntax, tokenize
 from loam.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_exact(spark, d):
     return percentiles.exact_percentiles(events, ["type"])
 
 
+def p2_found(spark, d):
+    return p2_pairs(spark, d).select("path", "name", "start_line")
+
+
+def p2_pairs(spark, d):
+    return docpairs.documented_functions(table(spark, d, "source_files"))
+
+
 def p3_found(spark, d):
     return p3_pieces(spark, d).where("id is not null").select("id").distinct()
 
@@ -28,6 +36,14 @@ def p4_found(spark, d):
     return neighbours.pairs(neighbours.nearest(table(spark, d, "vectors")))
 
 
+def p6_found(spark, d):
+    return syntax.check(table(spark, d, "source_files")).where("size(parse_errors) > 0").select("path")
+
+
+def p6_rates(spark, d):
+    return syntax.rates(syntax.check(table(spark, d, "source_files")))
+
+
 def p7_ids(spark, d):
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -40,7 +56,7 @@ def p8_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_exact, p3_found, p3_pieces, p4_found, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_exact, p2_found, p2_pairs, p3_found, p3_pieces, p4_found, p6_found, p6_rates, p7_ids, p8_mix, p8_shares)}
 
 _EVENTS = """WITH ev AS (SELECT DISTINCT id, type, api_key_id, created_at, CAST(duration_ms AS BIGINT) AS v FROM api_event WHERE duration_ms >= 0)"""
 _RANKED = """, g AS (
