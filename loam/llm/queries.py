@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import docpairs, mixing, neighbours, percentiles, split, syntax, tokenize
+from loam.llm import docpairs, mixing, neighbours, percentiles, provenance, split, syntax, tokenize
 from loam.sources.tables import table
 
 
@@ -36,6 +36,14 @@ def p4_found(spark, d):
     return neighbours.pairs(neighbours.nearest(table(spark, d, "vectors")))
 
 
+def p5_found(spark, d):
+    return p5_files(spark, d).where("not include and label is not null").select("path")
+
+
+def p5_files(spark, d):
+    return provenance.classify(table(spark, d, "source_files"))
+
+
 def p6_found(spark, d):
     return syntax.check(table(spark, d, "source_files")).where("size(parse_errors) > 0").select("path")
 
@@ -56,7 +64,7 @@ def p8_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_exact, p2_found, p2_pairs, p3_found, p3_pieces, p4_found, p6_found, p6_rates, p7_ids, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_exact, p2_found, p2_pairs, p3_found, p3_pieces, p4_found, p5_found, p5_files, p6_found, p6_rates, p7_ids, p8_mix, p8_shares)}
 
 _EVENTS = """WITH ev AS (SELECT DISTINCT id, type, api_key_id, created_at, CAST(duration_ms AS BIGINT) AS v FROM api_event WHERE duration_ms >= 0)"""
 _RANKED = """, g AS (
