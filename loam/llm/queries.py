@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import docpairs, mixing, neighbours, percentiles, provenance, split, syntax, tokenize
+from loam.llm import docpairs, mixing, neighbours, percentiles, provenance, residue, split, syntax, tokenize
 from loam.sources.tables import table
 
 
@@ -64,7 +64,19 @@ def p8_shares(spark, d):
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_exact, p2_found, p2_pairs, p3_found, p3_pieces, p4_found, p5_found, p5_files, p6_found, p6_rates, p7_ids, p8_mix, p8_shares)}
+def p9_found(spark, d):
+    return p9_residue(spark, d).where("residue").select("doc_id")
+
+
+def p9_residue(spark, d):
+    return residue.examine(table(spark, d, "documents"))
+
+
+def p9_clean(spark, d):
+    return residue.clean(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_exact, p2_found, p2_pairs, p3_found, p3_pieces, p4_found, p5_found, p5_files, p6_found, p6_rates, p7_ids, p8_mix, p8_shares, p9_found, p9_residue, p9_clean)}
 
 _EVENTS = """WITH ev AS (SELECT DISTINCT id, type, api_key_id, created_at, CAST(duration_ms AS BIGINT) AS v FROM api_event WHERE duration_ms >= 0)"""
 _RANKED = """, g AS (
