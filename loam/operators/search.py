@@ -152,9 +152,12 @@ def embed(content: str | Column, dim: int = 64) -> Column:
     bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dim
     sign = lambda t: F.when(F.conv(F.substring(F.md5(t), 7, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
     marked = F.transform(X.terms(truncated(content)), lambda t: F.struct(bucket(t).alias("b"), sign(t).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(marked, lambda m: m["b"] == i), F.lit(0.0), lambda a, m: a + m["s"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+    # a transform over an array of one binds its element, which is then computed once
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    spread = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(m, F.lit(0.0), lambda a, x: a + F.when(x["b"] == i, x["s"]).otherwise(0.0)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))
+    return bound(bound(marked, spread), scaled)
 
 
 def truncated(content: str | Column) -> Column:

@@ -52,7 +52,7 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), t -> t <> '')"
+_TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
 
 # --- terms, postings, BM25 ---------------------------------------------------------------
 
@@ -91,7 +91,7 @@ def bm25_batch_topk(spark, d):
 
 #: Query vectors by rule: coordinate i of query k is sin of their mix.
 VECTOR_QUERIES = [(k, [round(__import__("math").sin(k * 1.7 + i * (0.3 + 0.11 * k)), 6) for i in range(64)]) for k in range(1, 6)]
-_VECTORS_SQL = "v AS (SELECT id, any_value(CAST(vector AS DOUBLE[])) AS v FROM vectors WHERE len(vector) = 64 AND len(list_filter(vector, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, x -> x <> 0)) > 0 GROUP BY id)"
+_VECTORS_SQL = "v AS (SELECT id, any_value(CAST(vector AS DOUBLE[])) AS v FROM vectors WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id)"
 _VQ_SQL = "vq(query_id, q) AS (VALUES " + ", ".join(f"({k}, CAST([{', '.join(map(str, v))}] AS DOUBLE[]))" for k, v in VECTOR_QUERIES) + ")"
 _VHITS_SQL = "vs AS (SELECT query_id, id, round(1 - list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM v, vq)"
 
@@ -161,9 +161,9 @@ def overlap_antijoin(spark, d):
 
 
 @query(f"""WITH {_CHUNKS_SQL}, {_QUERIES_SQL}, {_BM25_SQL}, h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INT) AS rank FROM bm), t AS (
-  SELECT h.query_id, h.id, h.rank, list_distinct({_TERMS.format('q.query')}) AS asked, {_TERMS.format("concat_ws(chr(10), 'File: ' || c.file_path, 'Lines: ' || c.start_line || '-' || c.end_line, CASE WHEN len(c.symbols) > 0 THEN 'Symbols: ' || array_to_string(list_transform(c.symbols, s -> s.name), ', ') END, c.content)")} AS given
+  SELECT h.query_id, h.id, h.rank, list_distinct({_TERMS.format('q.query')}) AS asked, {_TERMS.format("concat_ws(chr(10), 'File: ' || c.file_path, 'Lines: ' || c.start_line || '-' || c.end_line, CASE WHEN len(c.symbols) > 0 THEN 'Symbols: ' || array_to_string(list_transform(c.symbols, lambda s: s.name), ', ') END, c.content)")} AS given
   FROM h JOIN q USING (query_id) JOIN c USING (id) WHERE h.rank < 16),
-s AS (SELECT query_id, id, rank AS old, round(list_sum(list_transform(asked, a -> len(list_filter(given, g -> g = a)) / (len(list_filter(given, g -> g = a)) + 1.0)))::DOUBLE / len(asked), 6) AS score FROM t)
+s AS (SELECT query_id, id, rank AS old, round(list_sum(list_transform(asked, lambda a: len(list_filter(given, lambda g: g = a)) / (len(list_filter(given, lambda g: g = a)) + 1.0)))::DOUBLE / len(asked), 6) AS score FROM t)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, id) - 1 AS INT) AS rank FROM s""")
 def rerank_lexical(spark, d):
     chunks = _chunks(spark, d)
@@ -186,7 +186,7 @@ def embed_hashed(spark, d):
 # --- discovery, filters, language --------------------------------------------------------
 
 
-@query(f"""WITH {_FILES_SQL}, s AS (SELECT path, string_split(rel_path, '/') AS p FROM f) SELECT path FROM s WHERE len(p) <= 21 AND len(list_filter(p[1:-2], x -> x IN ({', '.join(map(_q, discovery.IGNORED_DIRECTORIES))}) OR starts_with(x, '.'))) = 0
+@query(f"""WITH {_FILES_SQL}, s AS (SELECT path, string_split(rel_path, '/') AS p FROM f) SELECT path FROM s WHERE len(p) <= 21 AND len(list_filter(p[1:-2], lambda x: x IN ({', '.join(map(_q, discovery.IGNORED_DIRECTORIES))}) OR starts_with(x, '.'))) = 0
 AND p[-1] NOT IN ({', '.join(map(_q, discovery.IGNORED_FILES))}) AND NOT starts_with(p[-1], '.') AND NOT ends_with(p[-1], '.min.js') AND NOT ends_with(p[-1], '.map') AND NOT contains(p[-1], '.generated.') AND NOT contains(p[-1], '.gen.')
 AND lower(regexp_extract(p[-1], '(\\.[^.]*)$', 1)) IN ({', '.join(map(_q, discovery.extensions(['typescript', 'javascript', 'python'])))})""")
 def discover_files(spark, d):
@@ -204,7 +204,7 @@ def _cascade_sql() -> str:
     return f"""WITH {_FILES_SQL}, {_LINES_SQL}, lt AS (SELECT path, {_sql_trim('line')} AS t FROM l), cnt AS (SELECT path, t, count(*) AS n FROM lt WHERE t <> '' GROUP BY ALL),
 mx AS (SELECT path, max(n) AS most, sum(n) AS total FROM cnt GROUP BY path),
 x AS (SELECT f.path, content, lower(rel_path) AS lp, lower(string_split(rel_path, '/')[-1]) AS nm, string_split(content, chr(10)) AS ls, {_sql_trim('content')} AS tc,
- len(list_filter(string_split(content, chr(10)), x -> regexp_matches({tr}, '^(?://|#|/\\*|\\*|<!--)')))::DOUBLE / len(string_split(content, chr(10))) AS com,
+ len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches({tr}, '^(?://|#|/\\*|\\*|<!--)')))::DOUBLE / len(string_split(content, chr(10))) AS com,
  coalesce(len(regexp_extract_all(content, '{W}'))::DOUBLE / nullif(length(content), 0), 0) AS wsr, coalesce(len(regexp_extract_all(left(content, 1000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'))::DOUBLE / nullif(least(length(content), 1000), 0), 0) AS bin,
  length(array_to_string(string_split(content, chr(10))[1:10], chr(10))) - length(replace(array_to_string(string_split(content, chr(10))[1:10], chr(10)), ',', '')) AS com10, most, total FROM f LEFT JOIN mx USING (path)),
 y AS (SELECT *, CASE WHEN len(ls) < 20 THEN false WHEN regexp_matches(content, 'export class (?:Logger|Utils|Helper)') OR (contains(content, 'debug(') AND contains(content, 'info(') AND contains(content, 'warn(') AND contains(content, 'error(')) THEN false ELSE coalesce(most > 10 AND most::DOUBLE / total > 0.2, false) END AS rep FROM x),
@@ -222,7 +222,7 @@ def filter_reasons(spark, d):
     return filters.classify(_files(spark, d)).groupBy("reason", "include").agg(F.count("*").alias("files"))
 
 
-@query(f"SELECT doc_id, round(len(list_filter(string_split(text, chr(10)), x -> regexp_matches({_sql_trim('x')}, '^(?://|#|/\\*|\\*|<!--)')))::DOUBLE / len(string_split(text, chr(10))), 6) AS comments, round(coalesce(len(regexp_extract_all(text, '{W}'))::DOUBLE / nullif(length(text), 0), 0), 6) AS blanks FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, round(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches({_sql_trim('x')}, '^(?://|#|/\\*|\\*|<!--)')))::DOUBLE / len(string_split(text, chr(10))), 6) AS comments, round(coalesce(len(regexp_extract_all(text, '{W}'))::DOUBLE / nullif(length(text), 0), 0), 6) AS blanks FROM documents WHERE text IS NOT NULL")
 def quality_ratios(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").where(t.isNotNull()).select("doc_id", F.round(filters.comment_ratio(t), 6).alias("comments"), F.round(filters.whitespace_ratio(t), 6).alias("blanks"))
@@ -293,7 +293,7 @@ def sections_islands(spark, d):
     return C.sections(_chunks(spark, d))
 
 
-@query(f"""WITH {_CHUNKS_SQL} SELECT id, unnest(list_distinct(list_filter(list_concat(regexp_extract_all(content, 'from{W}+[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, '(\\w+){W}*\\(', 1)), x -> x <> ''))) AS dependency FROM c WHERE content IS NOT NULL""")
+@query(f"""WITH {_CHUNKS_SQL} SELECT id, unnest(list_distinct(list_filter(list_concat(regexp_extract_all(content, 'from{W}+[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, '(\\w+){W}*\\(', 1)), lambda x: x <> ''))) AS dependency FROM c WHERE content IS NOT NULL""")
 def section_dependencies(spark, d):
     return _chunks(spark, d).where("content is not null").select("id", F.explode(C.dependencies("content")).alias("dependency"))
 
@@ -383,12 +383,12 @@ def import_chunk_inequality(spark, d):
     return symbols.visible_imports(_chunks(spark, d), C.imports(C.line_rows(_files(spark, d), ["path"])))
 
 
-@query(f"WITH {_CHUNKS_SQL}, e AS (SELECT DISTINCT id, unnest(exports) AS name FROM c), s AS (SELECT DISTINCT id, unnest(list_transform(symbols, x -> x.name)) AS name FROM c) SELECT id, name FROM e SEMI JOIN s USING (id, name)")
+@query(f"WITH {_CHUNKS_SQL}, e AS (SELECT DISTINCT id, unnest(exports) AS name FROM c), s AS (SELECT DISTINCT id, unnest(list_transform(symbols, lambda x: x.name)) AS name FROM c) SELECT id, name FROM e SEMI JOIN s USING (id, name)")
 def export_semijoin(spark, d):
     return symbols.exported(_chunks(spark, d))
 
 
-@query(f"""WITH {_CHUNKS_SQL}, i AS (SELECT DISTINCT file_path, unnest(list_transform(imports, x -> x.module)) AS m FROM c WHERE file_path IS NOT NULL), e AS (SELECT DISTINCT file_path, unnest(exports) AS m FROM c WHERE file_path IS NOT NULL),
+@query(f"""WITH {_CHUNKS_SQL}, i AS (SELECT DISTINCT file_path, unnest(list_transform(imports, lambda x: x.module)) AS m FROM c WHERE file_path IS NOT NULL), e AS (SELECT DISTINCT file_path, unnest(exports) AS m FROM c WHERE file_path IS NOT NULL),
 p AS (SELECT DISTINCT file_path FROM c WHERE file_path IS NOT NULL), ia AS (SELECT file_path, list_sort(list(m))[1:5] AS a FROM i GROUP BY file_path), ea AS (SELECT file_path, list_sort(list(m))[1:5] AS a FROM e GROUP BY file_path)
 SELECT file_path, coalesce(array_to_string(ia.a, ','), '') AS imports, coalesce(array_to_string(ea.a, ','), '') AS exports FROM p LEFT JOIN ia USING (file_path) LEFT JOIN ea USING (file_path)""")
 def file_connections(spark, d):
@@ -431,7 +431,6 @@ def cdc_changes(spark, d):
     now = _files(spark, d).crossJoin(F.broadcast(gone)).where(~F.col("namespace").eqNullSafe(F.col("gone")))
     aged = rows.withColumns({"_t": F.coalesce(F.col("mtime").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")), "_h": F.coalesce(F.md5("content"), F.lit(""))})
     old = aged.where("path is not null").groupBy("path").agg(F.min_by(F.struct("language", "mtime", "content"), F.struct("_t", "_h")).alias("r")).select("path", "r.*").where("language is not null")
-    differs = store.state(now).select("path", F.sha2(F.lit(""), 256).alias("x"))  # noqa: F841
     return store.changes(now.withColumn("content", F.coalesce("content", F.lit(""))), store.state(old.withColumn("content", F.coalesce("content", F.lit("")))))
 
 
@@ -447,9 +446,9 @@ def delete_by_ids(spark, d):
     return store.delete(table(spark, d, "chunks").where("id is not null").select("id").distinct(), table(spark, d, "vectors").where("id is not null"))
 
 
-@query("SELECT DISTINCT namespace FROM vectors WHERE regexp_matches(namespace, '^mcp_[a-f0-9]{16}$') AND namespace NOT IN (SELECT namespace FROM source_files WHERE namespace IS NOT NULL)")
+@query("SELECT DISTINCT namespace FROM vectors WHERE regexp_matches(namespace, '^mcp_[a-f0-9]{16}$') AND namespace NOT IN (SELECT namespace FROM source_files WHERE namespace IS NOT NULL AND language = 'python')")
 def orphan_antijoin(spark, d):
-    return store.orphans(table(spark, d, "vectors"), table(spark, d, "source_files").where("namespace is not null"))
+    return store.orphans(table(spark, d, "vectors"), table(spark, d, "source_files").where("namespace is not null and language = 'python'"))
 
 
 @query("SELECT o.id, o.name, o.root_path, k.hash FROM namespace_owner o JOIN api_key k ON k.id = o.api_key_id")
