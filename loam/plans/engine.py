@@ -130,8 +130,8 @@ class Engine:
         if fresh:
             self.refresh(root)
         namespace = self.namespace(root)
-        docs = self._of("chunks", namespace)
-        if docs is None:
+        docs, entry = self._of("chunks", namespace), self.get_indexing_status(root)
+        if docs is None or entry is None or entry.where("not failed").isEmpty():
             return Response(False, strategy, message=f"Not indexed: {root}")
         limit = self.config.search.limit if limit is None else limit
         if where is not None:

@@ -32,7 +32,7 @@ def stream_tree(spark: SparkSession, root: str, languages: list[str] | None = No
 
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     """file, line_no and value of the lines of indexing logs."""
-    raw = spark.read.option("wholetext", "true").text(folder).select(F.input_file_name().alias("file"), F.posexplode(X.lines("value")).alias("line_no", "value"))
+    raw = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(X.lines("value")).alias("line_no", "value"))
     return raw.where(X.trim("value") != "")
 
 
