@@ -112,7 +112,10 @@ def _parameter(part: str, lang: str) -> str:
     if lang == "go":
         return re.match(r"\w*", part).group()
     part = re.sub(r"^(?:@[\w.]+(?:\([^)]*\))?\s*|(?:public|private|protected|readonly)\s+)*\.{0,3}", "", part)
-    return part if part[:1] in "{[" else re.match(r"[\w$]*", part).group()
+    if part[:1] in ("{", "["):  # a pattern, without its type and default
+        m = re.match(r"(?s)([\[{].*?[\]}])\s*(?::[^=]*)?(?:=.*)?\Z", part)
+        return m.group(1) if m else part
+    return re.match(r"[\w$]*", part).group()
 
 
 def pairs(src: str, lang: str, comments: list[tuple[int, int]]) -> list[tuple[str, int, list[str], str | None, str]]:
