@@ -41,10 +41,10 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, key: str
     Scores are sums of rounded contributions, so that their order doesn't change them."""
     asked = query_terms(queries)
     hit = index.join(asked.select("term").distinct(), "term", "left_semi")
-    stats = doc_lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    n, mean = doc_lengths.agg(F.count("*")).scalar(), doc_lengths.agg(F.avg("len")).scalar()
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    # only documents with a hit need their length; one row of statistics joins every row
-    scored = hit.join(df, "term").join(doc_lengths, key).crossJoin(F.broadcast(stats))
+    # only documents with a hit need their length; the two statistics are scalar subqueries
+    scored = hit.join(df, "term").join(doc_lengths, key).withColumns({"n": n, "mean": mean})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.round(part, 9).cast("decimal(20,9)")).cast("double").alias("score"))
@@ -53,7 +53,9 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, key: str
 def top(scored: DataFrame, limit: int, key: str = "id", ascending: bool = False, by: str = "query_id") -> DataFrame:
     """The best ``limit`` rows per query with their ``rank`` from 0; ties to the smaller key."""
     order = F.col("score").asc() if ascending else F.col("score").desc()
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(key))) - 1).where(F.col("rank") < limit)
+    # compared as it is, the row number is limited within each partition, before the shuffle
+    numbered = scored.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order, F.col(key)))).where(F.col("_n") <= limit)
+    return numbered.withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def unit(v: str | Column) -> Column:
@@ -78,11 +80,12 @@ def usable(v: str | Column, dim: int) -> Column:
 def vector_scores(vectors: DataFrame, queries: list[tuple[int, list[float]]], key: str = "id", vector: str = "vector", dim: int = 64) -> DataFrame:
     """``query_id``, ``key`` and ``score``, the cosine distance rounded to 6 decimals, of every usable vector.
 
-    A stated set of query vectors travels as literals within the plan; the vectors are read once."""
-    spark = vectors.sparkSession
-    asked = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in queries], "query_id bigint, q array<double>")
-    rows = vectors.where(usable(vector, dim)).select(key, unit(vector).alias("v"))
-    return rows.crossJoin(F.broadcast(asked)).select("query_id", key, F.round(1 - cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    A stated few query vectors travel as literals within the plan; the vectors are read once,
+    and nothing is joined."""
+    each = [F.struct(F.lit(i).cast("bigint").alias("query_id"), F.lit([float(x) for x in q]).cast("array<double>").alias("q")) for i, q in queries]
+    asked = F.array(*each) if each else F.array().cast("array<struct<query_id: bigint, q: array<double>>>")
+    rows = vectors.where(usable(vector, dim)).select(key, unit(vector).alias("v"), F.explode(asked).alias("a"))
+    return rows.select(F.col("a.query_id").alias("query_id"), key, F.round(1 - cosine(F.col("v"), F.col("a.q")), 6).alias("score"))
 
 
 def candidates(limit: int) -> int:
@@ -142,7 +145,7 @@ def rerank(hits: DataFrame, query: Column, text: Column, by: str = "query_id", k
     """The hits in the order of their relevance, at most ``depth`` per query; the old score is kept."""
     scored = hits.withColumns({"original_score": F.col("score"), "score": lexical_relevance(query, text)})
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("rank"), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < depth)
+    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def embed(content: str | Column, dim: int = 64) -> Column:

@@ -427,8 +427,8 @@ WHERE k.path IS NULL OR n.path IS NULL OR coalesce(n.content, '') <> coalesce(k.
 def cdc_changes(spark, d):
     """The latest files without one repository against their oldest states in a known language."""
     rows = table(spark, d, "source_files")
-    gone = table(spark, d, "namespace_owner").agg(F.min("name").alias("gone"))
-    now = _files(spark, d).crossJoin(F.broadcast(gone)).where(~F.col("namespace").eqNullSafe(F.col("gone")))
+    gone = table(spark, d, "namespace_owner").agg(F.min("name")).scalar()
+    now = _files(spark, d).where(~F.col("namespace").eqNullSafe(gone))
     aged = rows.withColumns({"_t": F.coalesce(F.col("mtime").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")), "_h": F.coalesce(F.md5("content"), F.lit(""))})
     old = aged.where("path is not null").groupBy("path").agg(F.min_by(F.struct("language", "mtime", "content"), F.struct("_t", "_h")).alias("r")).select("path", "r.*").where("language is not null")
     return store.changes(now.withColumn("content", F.coalesce("content", F.lit(""))), store.state(old.withColumn("content", F.coalesce("content", F.lit("")))))
