@@ -22,6 +22,7 @@ from loam.sources.tables import collect_bounded, materialize
 BLOCKS = 1024
 SHARDS = 16
 SOURCES = 1000  # most target rows
+SMALL = 200_000  # most rows of a plan that is broadcast; a larger one is joined by a shuffle
 
 
 def split_tree(rng: np.random.Generator, blocks: np.ndarray, shards: int) -> list[np.ndarray]:
@@ -96,13 +97,13 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
 
 def _drawn(spark, docs: DataFrame, blocks: list[tuple], seed: int) -> DataFrame:
     chosen = spark.createDataFrame(blocks, "source string, block int, copy int, shard int, most bigint")
-    rows = docs.where(F.col("n_tokens") > 0).join(F.broadcast(chosen), ["source", "block"])
+    rows = docs.where(F.col("n_tokens") > 0).join(F.broadcast(chosen) if len(blocks) <= SMALL else chosen, ["source", "block"])
     whole, partial = rows.where(F.col("most") < 0), rows.where(F.col("most") >= 0)
     # at most one block of each source is cut: the documents that end within what is left of its quota
     upto = F.sum("n_tokens").over(Window.partitionBy("source", "block", "copy").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     partial = partial.withColumn("upto", upto).where(F.col("upto") <= F.col("most")).drop("upto")
     drawn = whole.unionByName(partial)
-    return drawn.select("doc_id", "source", "copy", "shard", F.xxhash64(F.lit(seed + 2), "doc_id", "copy").alias("position"), "n_tokens").repartition("shard").sortWithinPartitions("shard", "position")
+    return drawn.select("doc_id", "source", "copy", "shard", F.xxhash64(F.lit(seed + 2), "doc_id", "copy").alias("position"), "n_tokens").repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
