@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
+from loam.sources.tables import materialize
 
 K1, B = 1.2, 0.75
 #: Fusion constants.  Fixed values.
@@ -40,7 +41,7 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, key: str
 
     Scores are sums of rounded contributions, so that their order doesn't change them."""
     asked = query_terms(queries)
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
+    hit = materialize(index.join(asked.select("term").distinct(), "term", "left_semi"))  # only the queries' terms
     n, mean = doc_lengths.agg(F.count("*")).scalar(), doc_lengths.agg(F.avg("len")).scalar()
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     # only documents with a hit need their length; the two statistics are scalar subqueries
@@ -179,11 +180,11 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: list[tuple[int, str, li
         vectors = vectors.join(docs.select("id"), "id", "left_semi")
     asked = spark.createDataFrame([(q[0], q[1]) for q in queries], "query_id bigint, query string").where(X.trim("query") != "")
     depth = candidates(limit)
-    text_hits = top(bm25(postings(docs), lengths(docs), asked), depth)
+    text_hits = top(bm25(postings(docs), materialize(lengths(docs)), asked), depth)
     vector_hits = top(vector_scores(vectors, [(q[0], q[2]) for q in queries if q[2]]), depth, ascending=True)
     fused = fuse(vector_hits, text_hits, vector_weight, text_weight)
-    # few rows: at most twice the depth per query meet the chunks
-    placed = docs.select("id", "file_path", "start_line", "end_line").join(fused, "id")
+    # few rows, at most twice the depth per query, that the anti-join reads twice
+    placed = materialize(docs.select("id", "file_path", "start_line", "end_line").join(fused, "id"))
     kept = without_overlaps(keep_first(placed, ["query_id", "file_path", "start_line", "end_line"]))
     final = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("position") <= limit)
     return final.select("query_id", "position", "id", "file_path", "start_line", "end_line", "raw", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as X
 from loam.operators import chunks as C
 from loam.operators import discovery, filters, language, search, store, symbols, usage
-from loam.sources.tables import table
+from loam.sources.tables import materialize, table
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return store.distinct_chunks(table(spark, d, "chunks"))
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks to search, written once: postings, lengths and results each read them."""
+    return materialize(_chunks(spark, d).select("id", "content", "file_path", "start_line", "end_line", "symbols"))
+
+
 W = X.WS
 _FILES_SQL = "f AS (SELECT * EXCLUDE (_h) FROM (SELECT *, coalesce(md5(content), '') AS _h FROM source_files WHERE path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, _h DESC) = 1)"
 _CHUNKS_SQL = "c AS (SELECT * EXCLUDE (_h) FROM (SELECT *, md5(coalesce(content, '')) AS _h FROM chunks WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY _h DESC) = 1)"
@@ -82,9 +87,9 @@ bm AS (SELECT query_id, id, CAST(sum(CAST(round(ln(1 + (n - df + 0.5) / (df + 0.
 
 @query(f"WITH {_CHUNKS_SQL}, {_QUERIES_SQL}, {_BM25_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INT) AS rank FROM bm) WHERE rank < 20")
 def bm25_batch_topk(spark, d):
-    docs = _chunks(spark, d).select("id", "content")
+    docs = _docs(spark, d)
     asked = spark.createDataFrame(TEXT_QUERIES, "query_id bigint, query string")
-    return search.top(search.bm25(search.postings(docs), search.lengths(docs), asked), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return search.top(search.bm25(search.postings(docs), materialize(search.lengths(docs)), asked), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- vectors and fusion ------------------------------------------------------------------
@@ -122,9 +127,9 @@ th AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY
 
 @query(f"WITH {_CHUNKS_SQL}, {_QUERIES_SQL}, {_BM25_SQL}, {_VECTORS_SQL}, {_VQ_SQL}, {_VHITS_SQL}, {_ARMS_SQL}, {_FUSE_SQL} SELECT query_id, id, rank, raw, score FROM fin")
 def rrf_fuse(spark, d):
-    docs = _chunks(spark, d).select("id", "content")
+    docs = _docs(spark, d)
     asked = spark.createDataFrame(TEXT_QUERIES, "query_id bigint, query string")
-    text = search.top(search.bm25(search.postings(docs), search.lengths(docs), asked), 16)
+    text = search.top(search.bm25(search.postings(docs), materialize(search.lengths(docs)), asked), 16)
     return search.fuse(search.top(search.vector_scores(_vectors(spark, d), VECTOR_QUERIES), 16, ascending=True), text)
 
 
@@ -137,8 +142,7 @@ HYBRID = [(i, t, dict(VECTOR_QUERIES)[i]) for i, t in TEXT_QUERIES]
 
 @query(f"WITH {_CHUNKS_SQL}, {_QUERIES_SQL}, {_BM25_SQL}, {_VECTORS_SQL}, {_VQ_SQL}, {_VHITS_SQL}, {_ARMS_SQL}, {_FUSE_SQL}, {_DEDUPE_SQL} SELECT query_id, position, id, file_path, start_line, end_line, raw, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position FROM ov) WHERE position <= 8")
 def hybrid_search(spark, d):
-    docs = _chunks(spark, d).select("id", "content", "file_path", "start_line", "end_line")
-    return search.hybrid(docs, _vectors(spark, d), HYBRID)
+    return search.hybrid(_docs(spark, d), _vectors(spark, d), HYBRID)
 
 
 _RANKED_SQL = f"WITH {_CHUNKS_SQL}, p AS (SELECT 0 AS query_id, id, file_path, start_line, end_line, CAST(row_number() OVER (PARTITION BY file_path ORDER BY length(content) DESC NULLS LAST, id) - 1 AS INT) AS rank FROM c WHERE file_path IS NOT NULL)"
@@ -166,10 +170,9 @@ def overlap_antijoin(spark, d):
 s AS (SELECT query_id, id, rank AS old, round(list_sum(list_transform(asked, lambda a: len(list_filter(given, lambda g: g = a)) / (len(list_filter(given, lambda g: g = a)) + 1.0)))::DOUBLE / len(asked), 6) AS score FROM t)
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, id) - 1 AS INT) AS rank FROM s""")
 def rerank_lexical(spark, d):
-    chunks = _chunks(spark, d)
-    docs = chunks.select("id", "content")
+    chunks = _docs(spark, d)
     asked = spark.createDataFrame(TEXT_QUERIES, "query_id bigint, query string")
-    hits = search.top(search.bm25(search.postings(docs), search.lengths(docs), asked), 16)
+    hits = search.top(search.bm25(search.postings(chunks), materialize(search.lengths(chunks)), asked), 16)
     shown = search.rerank_text(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.transform("symbols", lambda s: s["name"]), F.col("content"))
     full = hits.join(chunks.select("id", shown.alias("shown")), "id").join(asked, "query_id")
     return search.rerank(full, F.col("query"), F.col("shown")).select("query_id", "id", "score", "rank")
