@@ -154,7 +154,10 @@ def fit(numbered: DataFrame) -> np.ndarray:
 
 
 def candidates(numbered: DataFrame, centre: np.ndarray) -> DataFrame:
-    """(num, near): per class the best other classes as structs of cosine in millionths and number."""
+    """(num, near): per class the best other classes as structs of cosine in millionths and number.
+
+    Vectors travel in single precision, in which the table has them, and are scaled again in
+    double where they meet."""
     lists = len(centre)
 
     def assign(batches: Iterator) -> Iterator:
@@ -164,11 +167,12 @@ def candidates(numbered: DataFrame, centre: np.ndarray) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), BLOCK):
                 part = b.iloc[i : i + BLOCK]
-                x = unit(np.stack(part["vector"].to_numpy()))
+                raw = np.stack(part["vector"].to_numpy())
+                x = unit(raw)
                 at, cos = graph.search(x, min(VISITS, lists))
                 visit, home = within_ratio(at, cos, VISITS, VISIT_RATIO), within_ratio(at, cos, REPLICAS, REPLICA_RATIO)
                 r, c = np.nonzero(visit | home)
-                yield pd.DataFrame({"list": at[r, c].astype(np.int32), "num": part["num"].to_numpy()[r], "visit": visit[r, c], "home": home[r, c], "vec": [v.tobytes() for v in x[r]]})
+                yield pd.DataFrame({"list": at[r, c].astype(np.int32), "num": part["num"].to_numpy()[r], "visit": visit[r, c], "home": home[r, c], "vec": [v.tobytes() for v in raw.astype(np.float32)[r]]})
 
     def scan(group):
         import pandas as pd
@@ -178,12 +182,13 @@ def candidates(numbered: DataFrame, centre: np.ndarray) -> DataFrame:
         queries = group[group["visit"].to_numpy()]
         if not len(members) or not len(queries):
             return pd.DataFrame({"num": [], "near": []})
-        m = np.frombuffer(b"".join(members["vec"]), np.float64).reshape(-1, DIM)
+        vectors = lambda rows: unit(np.frombuffer(b"".join(rows["vec"]), np.float32).reshape(-1, DIM).astype(np.float64))
+        m = vectors(members)
         mn, n = members["num"].to_numpy(), len(members)
         nums, near = [], []
         for i in range(0, len(queries), 512):
             part = queries.iloc[i : i + 512]
-            q = np.frombuffer(b"".join(part["vec"]), np.float64).reshape(-1, DIM)
+            q = vectors(part)
             qn = part["num"].to_numpy()
             cos = np.rint(q @ m.T * 1e6).astype(np.int64)
             key = cos * n + (n - 1 - np.arange(n))[None, :]  # ties to the smaller id
