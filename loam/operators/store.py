@@ -50,8 +50,7 @@ def replace_files(store: DataFrame, chunks: DataFrame, changed: DataFrame, path:
 
 def write_partition(rows: DataFrame, folder: str, namespace: str) -> None:
     """Write a namespace's rows in place of what was there; other namespaces stay."""
-    rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.withColumn("namespace", F.lit(namespace)).write.mode("overwrite").partitionBy("namespace").parquet(folder)
+    rows.withColumn("namespace", F.lit(namespace)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(folder)
 
 
 def exists(store: DataFrame, namespace: str) -> bool:
