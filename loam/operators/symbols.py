@@ -12,15 +12,18 @@ SYMBOL_TYPES = ["function", "class", "interface", "type", "variable", "method",
 _S = X.WS
 
 
+#: How lines begin that declare something, and what: the first that matches.  Fixed values.
+SCAN_RULES = (
+    (rf"^(?:export{_S}+)?(?:default{_S}+)?(?:abstract{_S}+)?class{_S}+(\w+)", "class"), (rf"^(?:export{_S}+)?interface{_S}+(\w+)", "interface"), (rf"^(?:export{_S}+)?(?:default{_S}+)?(?:async{_S}+)?function{_S}+(\w+)", "function"),
+    (rf"^(?:async{_S}+)?def{_S}+(\w+)", "function"), (rf"^func{_S}+(?:\([^)]*\){_S}*)?(\w+)", "function"), (rf"^(?:export{_S}+)?type{_S}+(\w+){_S}*[=\w]", "type"), (rf"^(?:export{_S}+)?enum{_S}+(\w+)", "enum"), (rf"^export{_S}+(?:const|let|var){_S}+(\w+)", "variable"),
+)
+
+
 def scan(lines: DataFrame) -> DataFrame:
     """Symbols by the first words of their line, without a parser: ``name``, ``type``, ``line_no``."""
     t = X.trim("line")
-    rules = (
-        (rf"^(?:export{_S}+)?(?:default{_S}+)?(?:abstract{_S}+)?class{_S}+(\w+)", "class"), (rf"^(?:export{_S}+)?interface{_S}+(\w+)", "interface"), (rf"^(?:export{_S}+)?(?:default{_S}+)?(?:async{_S}+)?function{_S}+(\w+)", "function"),
-        (rf"^(?:async{_S}+)?def{_S}+(\w+)", "function"), (rf"^func{_S}+(?:\([^)]*\){_S}*)?(\w+)", "function"), (rf"^(?:export{_S}+)?type{_S}+(\w+){_S}*[=\w]", "type"), (rf"^(?:export{_S}+)?enum{_S}+(\w+)", "enum"), (rf"^export{_S}+(?:const|let|var){_S}+(\w+)", "variable"),
-    )
     kind, name = F, F
-    for p, k in rules:
+    for p, k in SCAN_RULES:
         kind, name = kind.when(t.rlike(p), k), name.when(t.rlike(p), F.regexp_extract(t, p, 1))
     return lines.withColumns({"type": kind.otherwise(None), "name": name.otherwise(None)}).where(F.col("type").isNotNull()).drop("line")
 

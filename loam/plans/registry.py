@@ -42,6 +42,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return materialize(_chunks(spark, d).select("id", "content", "file_path", "start_line", "end_line", "symbols"))
 
 
+_EVENTS_SQL = "ev AS (SELECT DISTINCT id, type, namespace_id, metadata, CASE WHEN duration_ms >= 0 THEN duration_ms END AS duration_ms, status_code, created_at, api_key_id FROM api_event)"
 W = X.WS
 _FILES_SQL = "f AS (SELECT * EXCLUDE (_h) FROM (SELECT *, coalesce(md5(content), '') AS _h FROM source_files WHERE path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, _h DESC) = 1)"
 _CHUNKS_SQL = "c AS (SELECT * EXCLUDE (_h) FROM (SELECT *, md5(coalesce(content, '')) AS _h FROM chunks WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY _h DESC) = 1)"
@@ -403,7 +404,13 @@ def symbols_python(spark, d):
     return symbols.python_symbols(_files(spark, d))
 
 
-@query()
+def _scan_sql() -> str:
+    kind = " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN '{k}'" for p, k in symbols.SCAN_RULES)
+    name = " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN regexp_extract(t, {_q(p)}, 1)" for p, _ in symbols.SCAN_RULES)
+    return f"WITH {_FILES_SQL}, {_LINES_SQL}, t AS (SELECT path, CAST(line_no AS INT) AS line_no, {_sql_trim('line')} AS t FROM l) SELECT * FROM (SELECT path, line_no, CASE {kind} END AS type, CASE {name} END AS name FROM t) WHERE type IS NOT NULL"
+
+
+@query(_scan_sql())
 def symbols_scan(spark, d):
     return symbols.scan(C.line_rows(_files(spark, d), ["path"]))
 
@@ -449,6 +456,26 @@ def delete_by_ids(spark, d):
     return store.delete(table(spark, d, "chunks").where("id is not null").select("id").distinct(), table(spark, d, "vectors").where("id is not null"))
 
 
+@query(f"""WITH {_CHUNKS_SQL}, {_FILES_SQL}, src AS (SELECT * FROM f WHERE language = 'go'), nw AS ({_windows_sql("", "path", "content", 50).replace("w AS (", "WITH w AS (", 1)})
+SELECT id, file_path FROM c WHERE file_path NOT IN (SELECT path FROM src) UNION ALL SELECT id, path FROM nw""")
+def replace_changed_files(spark, d):
+    """The stored chunks after all files of one language were cut anew."""
+    changed = _files(spark, d).where("language = 'go'")
+    new = C.windows(changed, 50).select("id", F.col("path").alias("file_path"))
+    return store.replace_files(_chunks(spark, d).select("id", "file_path").where("file_path is not null"), new, changed)
+
+
+@query("SELECT name, name IN (SELECT namespace FROM vectors WHERE namespace IS NOT NULL) AS present FROM namespace_owner")
+def namespaces_present(spark, d):
+    known = table(spark, d, "vectors").where("namespace is not null").select(F.col("namespace").alias("name")).distinct().withColumn("present", F.lit(True))
+    return table(spark, d, "namespace_owner").select("name").join(known, "name", "left").select("name", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT type, status_code, count(*) AS events, count(DISTINCT api_key_id) AS keys, grouping(type, status_code) AS level FROM ev GROUP BY CUBE (type, status_code)")
+def usage_cube(spark, d):
+    return _events(spark, d).cube("type", "status_code").agg(F.count("*").alias("events"), F.count_distinct("api_key_id").alias("keys"), F.grouping_id().alias("level"))
+
+
 @query("SELECT DISTINCT namespace FROM vectors WHERE regexp_matches(namespace, '^mcp_[a-f0-9]{16}$') AND namespace NOT IN (SELECT namespace FROM source_files WHERE namespace IS NOT NULL AND language = 'python')")
 def orphan_antijoin(spark, d):
     return store.orphans(table(spark, d, "vectors"), table(spark, d, "source_files").where("namespace is not null and language = 'python'"))
@@ -474,7 +501,6 @@ def catalog_stats(spark, d):
 
 # --- usage -------------------------------------------------------------------------------
 
-_EVENTS_SQL = "ev AS (SELECT DISTINCT id, type, namespace_id, metadata, CASE WHEN duration_ms >= 0 THEN duration_ms END AS duration_ms, status_code, created_at, api_key_id FROM api_event)"
 
 
 def _events(spark, d):
