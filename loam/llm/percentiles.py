@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.sources.tables import materialize
@@ -98,22 +98,19 @@ def percentiles(summary: DataFrame, by: list[str], wanted: tuple[float, ...] = P
 def exact_percentiles(rows: DataFrame, by: list[str], value: str = "value", wanted: tuple[float, ...] = PERCENTILES, bits: int = BITS) -> DataFrame:
     """``by``, ``p``, ``n`` and the exact ``value`` of rank ``ceil(p * n)``.
 
-    The first pass is the summary above.  Each further pass reads the rows again, keeps those
-    in an open interval of their group and counts them in ``2**bits`` equal parts of it.
+    The first pass is the summary above.  Each further pass reads the distinct values again, keeps
+    those in an open interval of their group and counts them in ``2**bits`` equal parts of it.
     """
-    rows = rows.where(F.col(value) >= 0).select(*by, F.col(value).cast("bigint").alias("v"))
-    hist = summarize(rows, by, "v", bits)
+    rows = rows.where(F.col(value) >= 0).groupBy(*by, F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("m"))
+    rows = materialize(rows)  # equal values of a group are one row with their number
+    hist = rows.groupBy(*by, bucket_low(F.col("v"), bits).alias("low")).agg(F.sum("m").alias("n"))
     first = percentiles(hist, by, wanted, bits)
-    total = F.sum("c").over
-    from pyspark.sql import Window
-
     before = hist.select(*by, "low", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("p") - 1e-9)).cast("bigint")
     same = lambda a, b: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in by])
-    a, b = first.alias("a"), before.alias("b")
-    state = a.join(b, same(first, before) & (first["low"] == before["low"])).select(*[first[c] for c in by], first["p"], first["n"], first["low"], (first["high"] + 1).alias("end"), (rank - before["before"]).alias("rest"))
+    state = first.join(before, same(first, before) & (first["low"] == before["low"])).select(*[first[c] for c in by], first["p"], first["n"], first["low"], (first["high"] + 1).alias("end"), (rank - before["before"]).alias("rest"))
     state = materialize(state)
-    width, done = 2**MAX_BITS, []
+    done = []
     while True:
         done.append(state.where(F.col("end") - F.col("low") <= 1))
         state = state.where(F.col("end") - F.col("low") > 1)
@@ -124,14 +121,13 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str = "value", want
         counted = (
             rows.alias("r").join(opened.alias("s"), reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]) & (F.col("r.v") >= F.col("s.low")) & (F.col("r.v") < F.col("s.end")))
             .groupBy(*[F.col(f"s.{c}").alias(c) for c in by], F.col("s.p").alias("p"), F.col("s.n").alias("n"), F.col("s.rest").alias("rest"), F.col("s.part").alias("part"), F.col("s.end").alias("end"), F.expr("s.low + (r.v - s.low) div s.part * s.part").alias("low"))
-            .agg(F.count("*").alias("c"))
+            .agg(F.sum("r.m").alias("c"))
         )
         w = Window.partitionBy(*by, "p").orderBy("low")
         state = materialize(
-            counted.withColumn("upto", total(w)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest")))
+            counted.withColumn("upto", F.sum("c").over(w)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest")))
             .select(*by, "p", "n", "low", F.least(F.col("low") + F.col("part"), F.col("end")).alias("end"), (F.col("rest") - F.col("upto") + F.col("c")).alias("rest"))
         )
-        width >>= bits
     return reduce(DataFrame.unionByName, done).select(*by, "p", "n", F.col("low").alias("value"))
 
 
