@@ -38,7 +38,7 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def newest_log(spark: SparkSession, folder: str, name: str) -> str | None:
     """The newest log of a codebase by its file's time."""
-    pattern = rf"^background-indexing-(.+)-(\d[\dTZ.:-]*)\.log$"
+    pattern = r"^background-indexing-(.+?)-(\d{4}-[\dTZ.:-]*)\.log$"
     found = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", F.regexp_extract(X.basename("path"), pattern, 1).alias("name")).where(F.col("name") == name)
     row = found.agg(F.max_by("path", "modificationTime").alias("p")).first()
     return row["p"]
