@@ -363,6 +363,12 @@ def truncate_embed_input(spark, d):
     return table(spark, d, "documents").where(plain).select("doc_id", X.truncate("text", 1000).alias("text"))
 
 
+@query()
+def truncate_embed_all(spark, d):
+    """Every document with a text: characters are code points, for which SQL has no reverse."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.truncate("text", 1000).alias("text"))
+
+
 # --- symbols and joins -------------------------------------------------------------------
 
 _SYMBOLS_SQL = "s AS (SELECT DISTINCT path, name, type, start_line, end_line, scope FROM symbols WHERE type IN ('function', 'class', 'interface', 'type', 'variable', 'method', 'enum', 'namespace', 'module'))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam.config import Config
 from loam.functions import text as X
 from loam.operators import chunks, discovery, filters, language, search, store, symbols, usage
+from loam.plans import registry
 from loam.sources import files as sources
 
 
@@ -51,6 +52,19 @@ def test_truncate(spark):
     assert one(spark, X.truncate("s", 10), s=None) is None
 
 
+def cut_by_hand(text, limit):
+    """The truncation rule over Python's code points."""
+    last = max(text.rfind(mark, 0, limit) for mark in "\n}") + 1
+    return text if len(text) <= limit else text[:last] if last - 1 > limit * 0.8 else text[:limit] + X.TRUNCATED
+
+
+def test_truncate_all_documents(spark, tmp_path):
+    made = ["short 🙂", "🙂" * 990 + "\n" + "日本語" * 40, "e\u0301" * 495 + "}" + "‘x’ – •\u200b" * 9, "👩\u200d👩\u200d👧" * 300, "カ\u3099" * 400 + "\r\n" + "漢" * 500, "\n" + "字" * 1000, "字" * 1000, "", None]
+    spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in registry.QUERIES["truncate_embed_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: cut_by_hand(t, 1000) for i, t in enumerate(made) if t is not None}
+
+
 def test_windows_and_complexity(spark):
     frame = spark.createDataFrame([("a", "\n".join(map(str, range(250)))), ("b", "\n" * 120), ("c", None)], "path string, content string")
     got = [(r["start_line"], r["end_line"]) for r in chunks.windows(frame).orderBy("path", "start_line").collect()]
