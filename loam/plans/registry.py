@@ -187,6 +187,13 @@ def embed_hashed(spark, d):
     return rows.where("value <> 0").select("id", "dim", F.round("value", 6).alias("value"))
 
 
+@query()
+def embed_hashed_all(spark, d):
+    """Every chunk, those beyond the embedder's limit by their truncated text."""
+    rows = _chunks(spark, d).select("id", F.posexplode(search.embed("content")).alias("dim", "value"))
+    return rows.where("value <> 0").select("id", "dim", F.round("value", 6).alias("value"))
+
+
 # --- discovery, filters, language --------------------------------------------------------
 
 

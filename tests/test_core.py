@@ -65,6 +65,27 @@ def test_truncate_all_documents(spark, tmp_path):
     assert got == {i: cut_by_hand(t, 1000) for i, t in enumerate(made) if t is not None}
 
 
+def test_embed_all_chunks(spark, tmp_path):
+    import hashlib
+    import math
+    import re
+
+    long = [f"word{i % 97} x{i % 89} 日本{i % 7}" + "\n" * (i % 11 == 0) for i in range(3000)]
+    made = ["one two two", " ".join(long), "a1 " * 6000 + "}" + "tail " * 900, "b2 " * 9000, "y" * 19_999 + "\n" + "left out", "", None]
+    spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(made)], "id string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    wanted = {}
+    for i, t in enumerate(made):
+        v = [0.0] * 64
+        for term in re.findall(r"\w+", cut_by_hand(t or "", 20_000).lower()):
+            h = hashlib.md5(term.encode()).hexdigest()
+            v[int(h[:6], 16) % 64] += 1.0 if int(h[6], 16) < 8 else -1.0
+        norm = math.sqrt(sum(x * x for x in v))
+        wanted |= {(f"c{i}", k): round(x / norm, 6) for k, x in enumerate(v) if x}
+    assert sum(len(t or "") > 20_000 for t in made) == 4
+    got = {(r["id"], r["dim"]): r["value"] for r in registry.QUERIES["embed_hashed_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(wanted, abs=2e-6)
+
+
 def test_windows_and_complexity(spark):
     frame = spark.createDataFrame([("a", "\n".join(map(str, range(250)))), ("b", "\n" * 120), ("c", None)], "path string, content string")
     got = [(r["start_line"], r["end_line"]) for r in chunks.windows(frame).orderBy("path", "start_line").collect()]
