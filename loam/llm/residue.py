@@ -23,7 +23,7 @@ from loam.sources.tables import materialize
 #: A line recurs on a host if so many documents and so large a share of them have it; or, on
 #: all hosts together, so many and so large a share.
 HOST_DOCS, HOST_SHARE, ALL_DOCS, ALL_SHARE = 3, 0.05, 20, 0.001
-SEGMENT = 40  # longest normalised line that can be boilerplate; half of it where it is rare on its host
+SEGMENT = 40  # longest normalised line that can be boilerplate
 DOMINANT = 0.6  # share of the residual's characters
 SHORT = 250  # a residual of so few characters that begins with an error or a notice is one
 
@@ -263,7 +263,7 @@ def recurrent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = F.filter(F.split("text", _SEPARATORS), lambda x: (F.length(x) > 0) & (F.length(x) <= SEGMENT + 10) & ~x.rlike(r"[.!?;(){}=。、]"))
     lines = F.array_distinct(F.filter(F.transform(short, _normalized_column), lambda x: (F.length(x) > 0) & (F.length(x) <= SEGMENT)))
     host = F.coalesce("namespace", F.lit(""))
-    counted = materialize(documents.where(F.length("text") > 0).select(host.alias("host"), F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= HOST_DOCS) | (F.length("line") <= SEGMENT // 2)))
+    counted = materialize(documents.where(F.length("text") > 0).select(host.alias("host"), F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")))
     sizes = documents.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
     on_host = counted.where(F.col("n") >= HOST_DOCS).join(sizes, "host").where(F.col("n") >= HOST_SHARE * F.col("docs")).select("host", "line")
     everywhere = counted.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= ALL_DOCS)

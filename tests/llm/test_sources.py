@@ -169,3 +169,15 @@ def test_registered(spark, name):
     columns = {"p2_found": ["path", "name", "start_line"], "p3_found": ["id"], "p4_found": ["id_a", "id_b"], "p5_found": ["path"], "p6_found": ["path"], "p7_ids": ["doc_id", "ids"], "p9_found": ["doc_id"]}
     made = queries.QUERIES[name](spark, DATA)
     assert made.columns == columns.get(name, made.columns) and made.count()
+
+
+def found(spark, rows):
+    return {r["doc_id"] for r in residue.examine(spark.createDataFrame(rows, "doc_id bigint, text string, namespace string")).where("residue").collect()}
+
+
+def test_lines_are_counted_over_all_hosts(spark):
+    """A footer of 21 to 40 characters, once on each of many hosts."""
+    footer = "\n".join(f"the {w} footer of all our pages" for w in ("alpha", "bravo", "delta", "gamma", "omega", "sigma", "kappa", "theta", "lambda"))
+    rows = [(i, footer + f"\nPage {i}: a {'b' * i} tells about it", f"h{i}") for i in range(30)] + [(99, footer + "\nAccess denied", "h99")]
+    assert found(spark, rows) == {99}
+    assert found(spark, rows[:10] + rows[-1:]) == set()
