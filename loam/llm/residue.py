@@ -23,7 +23,6 @@ from loam.sources.tables import materialize
 #: A line recurs on a host if so many documents and so large a share of them have it; or, on
 #: all hosts together, so many and so large a share.
 HOST_DOCS, HOST_SHARE, ALL_DOCS, ALL_SHARE = 3, 0.05, 20, 0.001
-SEGMENT = 40  # longest normalised line that can be boilerplate
 DOMINANT = 0.6  # share of the residual's characters
 SHORT = 250  # a residual of so few characters that begins with an error or a notice is one
 
@@ -164,24 +163,36 @@ def holds_filler(text: str) -> bool:
 
 
 _EDGES = " \t#*|·•>/›»–—-=:.✅🚀"
-_DIGITS = str.maketrans("123456789", "000000000")
 
 
-def normalized(line: str) -> str:
-    """A line as it is counted: lower case, all digits 0, no blanks or marks at its ends."""
-    return line.lower().translate(_DIGITS).strip(_EDGES)
+def _masked(m: re.Match) -> str:
+    return "'" + "q" * (len(m.group()) - 2) + "'"
+
+
+def _spans(pattern: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The places between a pattern's matches within a stretch of text."""
+    for m in pattern.finditer(text, start, end):
+        yield start, m.start()
+        start = m.end()
+    yield start, end
 
 
 def segments(text: str) -> list[tuple[str, int, str]]:
-    """(normalised line, characters, kind) of the parts of a document: error, script, beside or other.
+    """(line, characters, kind) of the parts of a document: error, script, beside or other.
 
-    Empty if no part is an error or a notice, as such a document can't be one of those."""
+    The line is the whole one that a part stands in, as it is counted but for normalisation; a
+    part over more than one, as a code block, is given line by line.  Empty if no part is an
+    error or a notice, as such a document can't be one of those."""
     text = _INVISIBLE.sub("", text)
     if _BODY.match(text.strip()):
         return [("body", len(text), "error")]
     out, strong = [], False
-    hidden = _QUOTED.sub(lambda m: "'" + "q" * (len(m.group()) - 2) + "'", _FENCE.sub(lambda m: "\n> " + "q" * len(m.group()) + "\n", text)) if not _BODY_LINE.search(text) else text
-    for line in _SPLIT.split(hidden):
+    # what is hidden keeps its length, so that places in the hidden text are those in the text
+    hidden = _QUOTED.sub(_masked, _FENCE.sub(lambda m: "> " + "q" * (len(m.group()) - 2), text)) if not _BODY_LINE.search(text) else text
+    lines = list(_spans(_SPLIT, text, 0, len(text)))
+    at = 0
+    for a, b in _spans(_SPLIT, hidden, 0, len(hidden)):
+        line = hidden[a:b]
         if not line.strip():
             continue
         if _BODY.match(line.strip()):
@@ -189,8 +200,8 @@ def segments(text: str) -> list[tuple[str, int, str]]:
             strong = True
             continue
         quoted = line.lstrip().startswith(">") or bool(_LOG.match(line))
-        for s in _STOP.split(line):
-            t = s.strip()
+        for x, y in _spans(_STOP, hidden, a, b):
+            t = hidden[x:y].strip()
             if not t:
                 continue
             kind = "other"
@@ -205,7 +216,16 @@ def segments(text: str) -> list[tuple[str, int, str]]:
                 if kind != "other" and _ABOUT.search(plain):
                     kind = "other"
             strong |= kind in ("error", "script")
-            out.append((normalized(t)[:SEGMENT], len(t), kind))
+            while lines[at][1] <= x and at + 1 < len(lines):
+                at += 1
+            if kind in ("error", "script") or y <= lines[at][1]:
+                out.append((text[slice(*lines[at])], len(t), kind))
+                continue
+            k = at
+            while k < len(lines) and lines[k][0] < y:
+                if n := len(text[max(x, lines[k][0]) : min(y, lines[k][1])].strip()):
+                    out.append((text[slice(*lines[k])], n, kind))
+                k += 1
     return out if strong else []
 
 
@@ -254,16 +274,25 @@ def verdict(text: str) -> tuple[str | None, list[tuple[str, int, str]]]:
 # --- the operator -----------------------------------------------------------------------
 
 
-def _normalized_column(c: Column) -> Column:
-    return F.btrim(F.translate(F.lower(c), "123456789", "000000000"), F.lit(_EDGES))
+def _normalized(c: Column) -> Column:
+    """A line, or the lines of a text, as counted: no invisible marks, lower case, all digits 0."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, _INVISIBLE.pattern, "")), "[1-9]", "0")
+
+
+def _key(line: Column) -> Column:
+    """What tells normalised lines apart: 64 bits of them without blanks and marks at their ends."""
+    return F.xxhash64(F.btrim(line, F.lit(_EDGES)))
+
 
+def recurrent(documents: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of the ``asked`` lines recur on a host (host, line) and on all hosts together (line).
 
-def recurrent(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines that recur on a host (host, line) and on all hosts together (line)."""
-    short = F.filter(F.split("text", _SEPARATORS), lambda x: (F.length(x) > 0) & (F.length(x) <= SEGMENT + 10) & ~x.rlike(r"[.!?;(){}=。、]"))
-    lines = F.array_distinct(F.filter(F.transform(short, _normalized_column), lambda x: (F.length(x) > 0) & (F.length(x) <= SEGMENT)))
+    Lines are keys; every line of every document is read, and those asked for are counted."""
+    nothing = F.xxhash64(F.lit(""))
+    lines = F.array_distinct(F.transform(F.split(_normalized(F.col("text")), _SEPARATORS), _key))
     host = F.coalesce("namespace", F.lit(""))
-    counted = materialize(documents.where(F.length("text") > 0).select(host.alias("host"), F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")))
+    each = documents.where(F.length("text") > 0).select(host.alias("host"), F.explode(lines).alias("line")).where(F.col("line") != nothing)
+    counted = materialize(each.join(asked, "line", "left_semi").groupBy("host", "line").agg(F.count("*").alias("n")))
     sizes = documents.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
     on_host = counted.where(F.col("n") >= HOST_DOCS).join(sizes, "host").where(F.col("n") >= HOST_SHARE * F.col("docs")).select("host", "line")
     everywhere = counted.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= ALL_DOCS)
@@ -290,9 +319,9 @@ def examine(documents: DataFrame) -> DataFrame:
             yield b.drop(columns="text").assign(own=pd.Series(own, dtype=object, index=b.index), parts=pd.Series(found, dtype=object, index=b.index))
 
     looked = materialize(chosen.mapInPandas(look, f"doc_id bigint, host string, own string, parts {parts}"))
-    on_host, everywhere = recurrent(documents)
-    each = looked.where(F.size("parts") > 0).select("doc_id", "host", F.explode("parts").alias("p")).select("doc_id", "host", "p.*")
+    each = looked.where(F.size("parts") > 0).select("doc_id", "host", F.explode("parts").alias("p")).select("doc_id", "host", "p.*").withColumn("line", _key(_normalized(F.col("line"))))
     told = F.col("kind").isin("error", "script")
+    on_host, everywhere = recurrent(documents, each.where(~told).select("line").distinct())
     rest = each.where(~told).join(on_host, ["host", "line"], "left_anti").join(everywhere, "line", "left_anti").select("doc_id", "at", "size", "kind")
     left = rest.unionByName(each.where(told).select("doc_id", "at", "size", "kind")).groupBy("doc_id").agg(
         F.min_by("kind", "at").alias("first"), F.sum("size").alias("all"), F.sum(F.when(F.col("kind") != "other", F.col("size")).otherwise(0)).alias("said"),

@@ -181,3 +181,11 @@ def test_lines_are_counted_over_all_hosts(spark):
     rows = [(i, footer + f"\nPage {i}: a {'b' * i} tells about it", f"h{i}") for i in range(30)] + [(99, footer + "\nAccess denied", "h99")]
     assert found(spark, rows) == {99}
     assert found(spark, rows[:10] + rows[-1:]) == set()
+
+
+def test_whole_sentences_recur(spark):
+    """Lines with full stops, longer than 40 characters, of more than one sentence, or with marks within."""
+    notice = "We use cookies (and the like) to make this site work; see our policy. You can change that at any time.\nCopyright 2024 Alpha Corporation and its subsidiaries. All rights reserved everywhere.\n\"Read - and write\" is the motto of our good old house = home.\n"
+    rows = [(i, notice + f"Page {i}: a {'b' * i} tells about it in words.", "h") for i in range(6)] + [(99, notice.replace("2024", "2025") + "Access denied", "h")]
+    assert len(notice) > residue.SHORT and found(spark, rows) == {99}
+    assert found(spark, [(99, notice + "Access denied", "h"), (1, "We use cookies (and the like) to make tea. " * 9, "h")]) == set()
