@@ -106,19 +106,25 @@ _SENTENCES = re.compile(r"(?<=[.!?。])\s+|[\r\n]+")
 #: Without one of these no placeholder or missing value can match.
 _MAYBE = re.compile(
     r"\{\{|<%|\{%|\$\{|\$\([a-z]|#\{|\[\[|<<|\(\(|@@\w|%[A-Z]|__[A-Za-z]|~[A-Z]|XX[A-Z]|\[[A-Z][A-Z]|\[insert|\[enter|\[your|\[add|\[ [a-z]|<insert|<enter|<your|<add|<!--|\?\?\?|\{[a-z]+_|\$[a-z]|TODO|TBD"
-    r"|undefined|Undefined|UNDEFINED|NaN|nan\b|null\b|NULL|None|none\b|NONE|nil\b|N/A|n/a|todo\b|tbd\b|\[object|\[Object|\[OBJECT"
+    r"|undefined|Undefined|UNDEFINED|NaN|nan\b|NAN\b|Nan\b|null\b|Null\b|NULL|None|none\b|NONE|nil\b|Nil\b|NIL\b|N/A|n/a|N/a|todo\b|Todo\b|tbd\b|Tbd\b|\[object|\[Object|\[OBJECT"
 )
-#: Without one of these no filler can match, and no error page or notice.
+#: Without one of these no filler sentence can match, without three words of ``_LATIN`` that
+#: are not ordinary no Latin one, and without one of the others no error page or notice.
 _FILLER_SIGNS = (
-    "ipsum amet consectetur adipiscing incididunt nostrud veniam eiusmod sample dummy placeholder filler blah xx asdf jkl qwer hjkl fdsa blindtext relleno ejemplo prueba remplissage factice d'exemple заполнитель рыба ダミー サンプル".split()
-    + ["example text", "test text", "example paragraph", "test paragraph", "foo bar", "goes here", "coming soon", "to be added", "to follow", "text pending", "content pending", "your text", "your content", "your copy", "insert copy", "insert text", "insert content", "add copy", "add text", "add content", "write something", "à venir", "pendiente", "hier steht", "folgt", "будет текст", "replace this", "replace me", "test line", "example line", "test content", "example content", "test sentence", "example sentence"]
+    "sample dummy placeholder filler blah xx asdf jkl qwer sdfg hjkl fdsa zxcv yxcv blindtext relleno ejemplo prueba remplissage factice d'exemple заполнитель рыба ダミー サンプル".split()
+    + [f"{a} {b}" for a in ("example", "test") for b in ("text", "line", "paragraph", "content", "copy", "sentence")]
+    + [f"{a} {b}" for a in ("text", "content", "copy") for b in ("goes here", "coming soon", "to be added", "to follow", "pending")]
+    + [f"{a} {b}" for a in ("your", "insert", "add") for b in ("text", "content", "copy")]
+    + ["foo bar", "write something", "à venir", "pendiente", "hier steht", "folgt", "будет текст", "replace this", "replace me"]
 )
 _PAGE_SIGNS = (
-    "javascript|java script|scripting|scripts|bad request|unauthorized|payment required|forbidden|not found|not allowed|request timeout|too large|too many requests|server error|not implemented|bad gateway|unavailable|gateway time|"
-    "error 4|error 5|error: 4|error: 5|http 4|http 5|status 4|status 5|fehler 4|fehler 5|erreur 4|erreur 5|ошибка 4|ошибка 5|エラー|<error|\"error\"|\"errors\"|\"detail\"|\"statuscode\"|access denied|is denied|permission denied|oops|uh-oh|uh oh|went wrong|something broke|application error|occurred|"
-    "fetch failed|fatal error|traceback|unhandled exception|could not be found|does not exist|cannot be displayed|be reached|has expired|verweigert|gibt es nicht|nicht gefunden|existiert nicht|refusé|interdit|introuvable|non trouvée|indisponible|denegado|no encontrada|no responde|не найдена|запрещ|не отвечает|недоступен|見つかりません|拒否|<title>4|<title>5"
+    "bad request|unauthorized|payment required|forbidden|not found|not allowed|request timeout|too large|too many requests|server error|internal error|not implemented|bad gateway|unavailable|gateway time|"
+    "<error|\"error\"|\"errors\"|\"detail\"|\"status\"|\"statuscode\"|\"code\"|<title>|<h1>|access denied|is denied|permission denied|oops|uh-oh|uh oh|went wrong|something broke|application error|occurred|"
+    "fetch failed|fatal error|traceback|unhandled exception|could not be found|does not exist|cannot be displayed|be reached|has expired|verweigert|gibt es nicht|nicht gefunden|existiert nicht|refusé|interdit|introuvable|non trouvée|indisponible|denegado|no encontrad|no responde|не найдена|запрещ|не отвечает|недоступен|見つかりません|拒否|サーバーエラー"
 ).split("|")
-_SHORT_SIGNS = re.compile(r"(?<![.\w/])js(?![A-Za-z0-9_'\"/])|(?:^|[\d|:>])[ \t]*(?:gone|conflict)[ \t]*(?:$|[<\"|.!])", re.I | re.M)
+#: A status, after a word for one or at the end of a part; a name that is a common word, at the end of one or after a status.
+_STATUS_SIGN = re.compile(r"[45]\d\d(?:(?<=(?:error|rreur).{3})|(?<=(?:error|rreur)[ :].{3})|(?<=(?:fehler|status|código|ошибка).{3})|(?<=(?:fehler|status|código|ошибка)[ :].{3})|(?<=エラー.{3})|(?<=エラー[ :].{3})|(?<=[ :]{2}.{3}))\b|[45]\d\d\b(?=[\s:|\-–—]*(?:[\r\n]|\Z|conflict|gone)|[:|\-–—]*(?:[ \t]{2}|\t|[ \t][|·•>/›»–—-][ \t]))")
+_NAME_SIGN = re.compile(r"\b(?:gone|conflict)(?=[^\S\r\n]*(?:[\r\n]|\Z)|[ \t]{2}|\t|[ \t][|·•>/›»–—-][ \t])")
 _BODY_LINE = re.compile(r'^\s*(?:\{"|<\?xml|<html|<!doctype)', re.M | re.I)
 _MARKUP = re.compile(r"</?[a-z][^>]*>", re.I)
 _STOP = re.compile(r"(?<=[.!?。])\s+")
@@ -233,16 +239,39 @@ def signs(text: str) -> tuple[bool, bool, bool]:
     """Whether a text could hold a placeholder, filler, or an error or notice at all: one pass
     over it for the characters and words without which none of the rules above can match."""
     low = text.lower()
-    filler = page = short = False
-    for end, kind in _automaton().iter(low):
+    if not low.isascii():
+        low = _INVISIBLE.sub("", low)
+    filler, page, names, scripts, latin = False, False, False, False, set()
+    for end, (kind, word) in _automaton().iter(low):
         if kind == "filler":
             filler = True
-        elif kind == "short":
-            short = True
-        elif not page:  # a quotation or a log line is no page
-            start = low.rfind("\n", 0, end) + 1
-            page = not (low[start : start + 8].lstrip().startswith(">") or _LOG.match(low, start))
-    return bool(_MAYBE.search(text)), filler, page or short and bool(_SHORT_SIGNS.search(text))
+        elif kind == "latin":
+            latin.add(word)
+        elif kind == "name":
+            names = True
+        elif kind == "script":
+            scripts = True
+        elif not page:
+            page = _told(low, end)
+    if not page:
+        page = names and bool(_NAME_SIGN.search(low)) or any(_told(low, m.end()) for m in _STATUS_SIGN.finditer(low)) or scripts and _asks_for_scripts(low)
+    if not page and ("<" in low or "`" in low):  # the rules see no markup and no inline code
+        plain = "\n".join(_MARKUP.sub(" ", _INLINE_CODE.sub(" ", x)).strip() for x in _SPLIT.split(low) if "<" in x or "`" in x)
+        page = any(kind == "page" for _, (kind, _) in _automaton().iter(plain)) or bool(_NAME_SIGN.search(plain) or _STATUS_SIGN.search(plain)) or scripts and _asks_for_scripts(plain)
+    return bool(_MAYBE.search(text)), filler or len(latin) >= 3, page
+
+
+def _told(low: str, end: int) -> bool:
+    """Whether the part that ends there is no quotation and no log line, which are no pages."""
+    start = max(low.rfind("\n", 0, end), low.rfind("\r", 0, end)) + 1
+    if not (low[start : start + 8].lstrip().startswith(">") or _LOG.match(low, start)):
+        return True
+    part = _SPLIT.split(low[start:end])[-1]
+    return not (part.lstrip().startswith(">") or _LOG.match(part))
+
+
+def _asks_for_scripts(low: str) -> bool:
+    return any(_SCRIPT.search(x) for x in re.split(r"[\r\n]+", low) if _NAMES_SCRIPTS.search(x))
 
 
 @lru_cache(maxsize=1)
@@ -250,9 +279,10 @@ def _automaton():
     import ahocorasick
 
     words = ahocorasick.Automaton()
-    for kind, listed in (("filler", _FILLER_SIGNS), ("page", _PAGE_SIGNS), ("short", ("js", "gone", "conflict"))):
-        for w in listed:
-            words.add_word(w, kind)
+    listed = {"filler": _FILLER_SIGNS, "latin": _LATIN - _ORDINARY_LATIN, "page": _PAGE_SIGNS, "name": ("gone", "conflict"), "script": ("js", "script")}
+    for kind, signs_of in listed.items():
+        for w in signs_of:
+            words.add_word(w, (kind, w))
     words.make_automaton()
     return words
 

@@ -189,3 +189,26 @@ def test_whole_sentences_recur(spark):
     rows = [(i, notice + f"Page {i}: a {'b' * i} tells about it in words.", "h") for i in range(6)] + [(99, notice.replace("2024", "2025") + "Access denied", "h")]
     assert len(notice) > residue.SHORT and found(spark, rows) == {99}
     assert found(spark, [(99, notice + "Access denied", "h"), (1, "We use cookies (and the like) to make tea. " * 9, "h")]) == set()
+
+
+PAGES = (
+    ["404", "503", "HTTP 502", "Status: 503", "Fehler: 404", "Erreur: 500", "Código 404", "Ошибка 500", "エラー404", "エラー: 503", "Error : 404", "error404", "500 Internal Error", "404 no encontrado", "404 no encontrada", "404 page introuvable", "409 – Conflict", "410 gone away", "Text here.  404\r\nmore", "Conflict\r\nmore", "Gone"]
+    + ["Bad Request", "Unauthorized", "Payment required", "Forbidden", "File not found", "Method not allowed", "Request timeout", "Payload too large", "Too many requests", "Internal server error", "Internal error", "Not implemented", "Bad gateway", "Service temporarily unavailable", "Gateway time-out", "Gateway timeout"]
+    + ["This page could not be found", "The file does not exist", "Page is unavailable", "Document cannot be displayed", "Access denied", "Access to this page is denied", "Permission denied", "Whoops, no", "Uh-oh", "Uh oh", "Something went wrong", "Something broke", "Application error", "An unknown exception has occurred", "Backend fetch failed", "Fatal error: x", "Traceback (most recent call last)", "Unhandled exception", "This site can’t be reached", "Your session has expired"]
+    + ["Zugriff verweigert", "Die Seite wurde nicht gefunden", "Die Seite gibt es nicht", "Die Seite existiert nicht", "Accès interdit", "Page non trouvée", "Le service est indisponible", "Acceso denegado", "Página no encontrada", "El servidor no responde", "Страница не найдена", "Доступ запрещён", "Сервер не отвечает", "Сервер временно недоступен", "ページが見つかりません", "アクセスが拒否", "サーバーエラー"]
+    + ['{"status": 503, "message": "upstream timed out"}', '{"code": 500}', '{"error": "denied"}', '{"errors": ["not found"]}', '{"detail": "forbidden"}', '{"statusCode": 404}', "<?xml version='1.0'?><error>x</error>", "<html><title> 404</title></html>", "<h1>Request failed</h1>"]
+    + ["enable script", "allow scripting", "JS off", "Node.js is required", "needs js", "without JavaScript", "Java Script is disabled", "activer js", "sans scripts", "включите js", "scriptを有効", "x > 404 Not Found", "> quoted > 404", "<b>Error</b> 404", "bad<br>request", "4\u200b04"]
+)
+FILLER = (
+    [f"{a} {b}" for a in ("sample", "dummy", "placeholder", "filler", "example", "test") for b in ("text", "line", "paragraph", "content", "copy", "sentence")] + [f"{a} {b}" for a in ("text", "content", "copy") for b in ("goes here", "coming soon", "to be added", "to follow", "pending")]
+    + [x for b in ("text", "content", "copy") for x in (f"your {b} here", f"insert {b}", f"add {b} here")] + [f"{x} {x} {x}" for x in ("asdf", "jkl", "qwer", "sdfg", "hjkl", "fdsa", "zxcv", "yxcv", "xx")]
+    + ["blah blah", "foo bar baz", "write something about it", "contenu à venir", "texte à venir", "texto pendiente", "hier steht ein text", "inhalt folgt", "тут будет текст", "здесь будет текст", "replace me", "replace this", "blindtext", "dies ist blindtext", "texto de relleno", "texto de ejemplo", "texto de prueba", "texte de remplissage", "texte factice", "texte d'exemple", "текст-заполнитель", "рыбатекст", "рыба текст", "ダミーテキスト", "サンプルテキスト"]
+    + ["Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur."] + [f"{a} {b} {c} et in ut" for a, b, c in zip(*[iter(sorted(residue._LATIN - residue._ORDINARY_LATIN))] * 3)]
+)
+MISSING = [f"Dear {x}, hello" for x in ("undefined", "null", "Null", "NULL", "None", "none", "TODO", "Todo", "TBD", "Tbd", "N/A", "n/a", "N/a", "nil", "Nil", "NIL")] + ["costs NaN euros", "costs Nan euros", "costs NAN euros", "[object Object]", "None None"]
+
+
+def test_every_alternative_of_a_rule_has_a_sign():
+    assert [x for x in PAGES if not residue.segments(x)] == [] and [x for x in PAGES if not residue.signs(x)[2]] == []
+    assert [x for x in FILLER if not residue.holds_filler(x)] == [] and [x for x in FILLER if not residue.signs(x)[1]] == []
+    assert [x for x in MISSING if not residue.holds_placeholder(x)] == [] and [x for x in MISSING if not residue.signs(x)[0]] == []
