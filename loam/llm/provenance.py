@@ -38,7 +38,7 @@ DIRECTORY_NAMES = (
     (r"", 0, 1.5),
 )
 
-#: What generators write at the head of their output.  Fixed values.
+#: What generators write at the head of their output, or at its foot.  Fixed values.
 _GENERATED_HEAD = re.compile(
     r"^[\s/#*<!\"'-]*(?:code generated by|this (?:file|code|class) (?:was|is|has been) (?:auto(?:matically)?[- ]?)?generated|auto-?generated file|file auto-?generated|"
     r"<auto-?generated>|@generated\b|automatically generated|automatisch (?:erzeugt|generiert)|fichier (?:produit|généré)|généré automatiquement|generado automáticamente|"
@@ -54,7 +54,27 @@ _DECLARATION = re.compile(
     r"(?:function\b|def\b|func\b|class\b|(?:const|let)\s+\w+\s*=\s*(?:async\s*)?\([^\n]*=>|[\w<>\[\], ]+\([^\n]*\)\s*(?::[^\n]*)?\{)[^\n]*$",
     re.M,
 )
-HEAD = 2000  # characters in which a head is looked for; all else reads whole texts
+
+
+def remarks(content: str, path: str | None, places: list[tuple[int, int]], broken: bool) -> str:
+    """The comments of a source and, in Python, its documentation strings, but no other literals.
+
+    A comment behind code does not begin a line.  A text whose language isn't known or whose
+    lexer stopped is given whole."""
+    lang = EXTENSIONS.get((path or "").rsplit(".", 1)[-1].lower())
+    if lang is None or broken:
+        return content
+    out, last, top = [], 0, True
+    for start, end in places:
+        gap = content[last:start]
+        last = end
+        top = top and not gap.strip()
+        if lang == "python" and content[start] != "#" and not (top or gap.rstrip().endswith(":")):
+            top = False
+            continue
+        line = gap[gap.rfind("\n") + 1 :]
+        out.append(("x " if line.strip() else "") + content[start:end])
+    return "\n".join(out)
 
 
 def evidence(path: str | None, content: str | None) -> tuple[list[float], list[str]]:
@@ -63,8 +83,9 @@ def evidence(path: str | None, content: str | None) -> tuple[list[float], list[s
         return [2.0, 0.0, 0.0, 0.0, 0.0], []
     weight = [2.0, -3.0, -3.0, 0.0, -3.0]  # what the text itself would show is unlikely without its signs
     lang = EXTENSIONS.get((path or "").rsplit(".", 1)[-1].lower(), "javascript")
-    skeleton, _ = scan(content, lang)
-    head = content[:HEAD]
+    places: list[tuple[int, int]] = []
+    skeleton, errors = scan(content, lang, places)
+    said = remarks(content, path, places, bool(errors))
     numbers = {int(x) for x in _NUMBERED.findall(skeleton)}
     first = 1 if 1 in numbers else 0
     run = 0
@@ -72,7 +93,7 @@ def evidence(path: str | None, content: str | None) -> tuple[list[float], list[s
         run += 1
     if run >= 5:  # members numbered throughout
         weight[1] += min(12.0, 6.0 + run)
-    if _GENERATED_HEAD.search(head):
+    if _GENERATED_HEAD.search(said):
         weight[1] += 8.0
     blank = len(skeleton) - len("".join(skeleton.split()))
     dense = blank / max(1, len(skeleton))
@@ -83,7 +104,7 @@ def evidence(path: str | None, content: str | None) -> tuple[list[float], list[s
         weight[2] += 11.0
     elif dense < 0.10 and len(skeleton) >= 200:
         weight[2] += 3.0
-    if _VENDORED_HEAD.search(head):
+    if _VENDORED_HEAD.search(said):
         weight[3] += 5.0
     lines = {x.strip() for x in _DECLARATION.findall(content)}
     return weight, [x for x in lines if 40 <= len(x) < 400]

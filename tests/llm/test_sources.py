@@ -111,6 +111,19 @@ def test_provenance(spark):
     assert provenance.classify(files(spark, rows).limit(0)).count() == 0
 
 
+def test_marks_are_found_in_all_comments():
+    """After a long licence, at the foot and in a documentation string, but in no other literal."""
+    marked = lambda path, text: [b > a for a, b in zip(provenance.evidence(path, CODE if path.endswith("js") else "x = 1\n" * 40)[0], provenance.evidence(path, text)[0])][1:4:2]
+    licence = "// one line of a long licence text\n" * 80
+    py = "x = 1\n" * 400
+    assert marked("a.js", licence + "// Code generated by tool. DO NOT EDIT.\n" + CODE) == [True, False]
+    assert marked("a.js", CODE * 4 + "/*\n * This file was automatically generated\n */\n") == [True, False]
+    assert marked("a.js", licence + "/* @license alpha@1.2 */\n" + CODE) == [False, True]
+    assert marked("a.py", py + "# automatically generated\n") == [True, False] and marked("a.py", '"""Automatically generated."""\n' + py) == [True, False]
+    assert marked("a.js", licence + CODE + "const t = `\n// Code generated by tool.\n// @license alpha@1.2\n`;\n") == [False, False]
+    assert marked("a.py", py + 't = """\n# automatically generated\n"""\n') == [False, False] and marked("a.py", py + "y = 1  # automatically generated\n") == [False, False]
+
+
 def test_beliefs_are_exact(spark):
     """On a small tree the two sweeps give what summing over all assignments gives."""
     import itertools
