@@ -8,12 +8,11 @@ from loam.sources.tables import table
 
 def p1_percentiles(spark, d):
     summary = percentiles.grouped(table(spark, d, "api_event"))
-    return percentiles.percentiles(summary, ["level", "type", "api_key_id"])
+    return percentiles.percentiles(summary, percentiles.LEVELS)
 
 
 def p1_exact(spark, d):
-    events = percentiles.distinct_events(table(spark, d, "api_event"))
-    return percentiles.exact_percentiles(events, ["type"])
+    return percentiles.exact_by_level(table(spark, d, "api_event"))
 
 
 def p2_found(spark, d):
@@ -89,7 +88,7 @@ w AS (SELECT *, CAST(1 AS BIGINT) << greatest(0, CASE WHEN v = 0 THEN 1 ELSE len
 
 ORACLE = {
     "p1_percentiles": _EVENTS + _RANKED + " SELECT level, type, api_key_id, p, n, v // w * w AS low, v // w * w + w - 1 AS high, v // w * w + (w - 1) / 2 AS value, (w - 1) / 2 AS error FROM w",
-    "p1_exact": _EVENTS + _RANKED + " SELECT type, p, n, v AS value FROM r WHERE level = 'type'",
+    "p1_exact": _EVENTS + _RANKED + " SELECT level, type, api_key_id, p, n, v AS value FROM r",
     "p3_found": """WITH c AS (SELECT language, max(max_chunk_size) AS m FROM chunking_config GROUP BY language)
 SELECT DISTINCT id FROM chunks LEFT JOIN c USING (language)
 WHERE id IS NOT NULL AND length(content) > coalesce(c.m, (SELECT m FROM c WHERE language = 'default'))""",

@@ -47,10 +47,32 @@ def test_percentiles_bound_and_merge(spark):
             r, want = found[t, p], brute(own, p)
             assert r["low"] <= want <= r["high"] and r["n"] == len(own)
             assert r["high"] - r["low"] <= max(0, want / 2**percentiles.BITS) and abs(r["value"] - want) <= r["error"] + 0.5
-    exact = {(r["type"], r["p"]): r["value"] for r in percentiles.exact_percentiles(source, ["type"], bits=4).collect()}
+    exact = {(r["type"], r["p"]): r["value"] for r in percentiles.exact_percentiles(source, ["type"], halvings=3).collect()}
     assert exact == {(t, p): brute([v for a, _, v in values if a == t and v is not None and v >= 0], p) for t in ("A", None) for p in percentiles.PERCENTILES}
 
 
+@pytest.mark.parametrize("halvings", [3, 11])
+def test_percentiles_of_negative_and_fractional_values(spark, halvings):
+    rng = random.Random(halvings)
+    inf, nan = float("inf"), float("nan")
+    doubles = [(g, x) for g in ("a", "b", None) for x in [rng.gauss(0, 10.0 ** rng.randint(-5, 8)) for _ in range(200)] + [0.0, -0.0, 5e-324, -1e300, 1e300, inf, -inf, nan, None]]
+    ordered = {g: sorted(x for h, x in doubles if h == g and x is not None and abs(x) < inf) for g in ("a", "b", None)}
+    rows = spark.createDataFrame(doubles, "g string, x double").withColumnRenamed("x", "value")
+    wanted = (0.01, 0.5, 0.99)
+    exact = {(r["g"], r["p"]): r["value"] for r in percentiles.exact_percentiles(rows, ["g"], wanted=wanted, halvings=4 * halvings).collect()}
+    assert exact == {(g, p): brute(v, p) for g, v in ordered.items() for p in wanted}
+    for r in percentiles.percentiles(percentiles.summarize(rows, ["g"]), ["g"], wanted, fractional=True).collect():
+        want = brute(ordered[r["g"]], r["p"])
+        assert r["low"] <= want <= r["high"] and r["high"] - r["low"] <= abs(want) / 2**percentiles.BITS * 1.02 + 5e-320
+    whole = [rng.randint(-(10**k), 10**k) for k in range(1, 18) for _ in range(20)] + [-(2**63), 2**63 - 1, None]
+    ints = spark.createDataFrame([(x,) for x in whole], "value bigint").withColumn("g", F.lit(1))
+    known = sorted(x for x in whole if x is not None)
+    assert {r["p"]: r["value"] for r in percentiles.exact_percentiles(ints, ["g"], wanted=wanted, halvings=4 * halvings).collect()} == {p: brute(known, p) for p in wanted}
+    for r in percentiles.percentiles(percentiles.summarize(ints, ["g"]), ["g"], wanted).collect():
+        want = brute(known, r["p"])
+        assert r["low"] <= want <= r["high"] and r["high"] - r["low"] <= abs(want) / 2**percentiles.BITS
+
+
 def test_percentiles_of_nothing(spark):
     none = spark.createDataFrame([], EVENT)
     assert percentiles.percentiles(percentiles.grouped(none), ["level", "type", "api_key_id"]).count() == 0
