@@ -5,12 +5,15 @@ boundary positions: the sum of the penalties of the cuts and of the squared devi
 the pieces from equal sizes is least, no piece is longer than the limit, and each piece
 repeats exactly the overlap of the one before.  Where a stretch has no line end, blanks and
 punctuation serve, and where it has none of these either, every so many characters.
+
+A cut's best predecessor lies within one limit.  As the imbalance is a square, predecessors
+are lines over the cut's place, whose lower hull is kept while it is walked: the time is
+linear in the boundaries, however many fit into a limit.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -61,6 +64,38 @@ def _whole(text: str, at: int, floor: int) -> int:
     return at
 
 
+class _Hull:
+    """The lower hull of lines that are added by falling slope and asked at rising places."""
+
+    def __init__(self):
+        self.lines: list[tuple[int, int, int]] = []
+        self.at = 0
+
+    def add(self, slope: int, height: int, name: int) -> None:
+        lines = self.lines
+        while len(lines) > 1:
+            (m1, b1, _), (m2, b2, _) = lines[-2:]
+            if (height - b1) * (m1 - m2) > (b2 - b1) * (m1 - slope):
+                break
+            lines.pop()
+        self.at = min(self.at, len(lines))
+        lines.append((slope, height, name))
+
+    def least(self, x: int, late: bool) -> tuple[int, int] | None:
+        """The least value at ``x`` and its line; of equal ones the later or the earlier."""
+        lines, at = self.lines, self.at
+        if not lines:
+            return None
+        now = lines[at][0] * x + lines[at][1]
+        while at + 1 < len(lines):
+            after = lines[at + 1][0] * x + lines[at + 1][1]
+            if after > now or after == now and not late:
+                break
+            at, now = at + 1, after
+        self.at = at
+        return now, lines[at][2]
+
+
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """The pieces of a text as (start, end), in order; the whole text if it is within the limit."""
     n = len(text)
@@ -70,19 +105,37 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     room = limit - overlap  # what each piece but the first can add
     places, penalty = boundaries(text, max(1, room // 4))
     pieces = 1 + -(-(n - limit) // room)
-    target = (n + (pieces - 1) * overlap) / pieces
-    scale = 1.0 / (limit * limit)
-    best, back = [0.0] * len(places), [-1] * len(places)
-    for j, (at, own) in enumerate(zip(places, penalty)):
-        low, chosen = float("inf"), -2
-        if at <= limit:
-            low, chosen = (at - target) ** 2 * scale, -1
-        for i in range(bisect_left(places, at - room, 0, j), j):
-            d = at - places[i] + overlap - target
-            c = best[i] + d * d * scale
-            if c < low:
-                low, chosen = c, i
-        best[j], back[j] = low + own + 0.05, chosen
+    # in whole numbers: 20 * pieces ** 2 * limit ** 2 times the cost, so that equal costs are equal
+    whole, weight = n + (pieces - 1) * overlap, pieces * pieces * limit * limit
+    own = [round(20 * p + 1) * weight for p in penalty]  # each cut costs 1/20 beside its penalty
+    x = [pieces * (at + overlap) - whole for at in places]
+    best, back = [0] * len(places), [-1] * len(places)
+    before, start = range(0), 0  # the stretch before: boundaries of one room's width
+    while start < len(places):
+        stop, edge = start, (places[start] // room + 1) * room
+        while stop < len(places) and places[stop] < edge:
+            stop += 1
+        reach, older = _Hull(), {}
+        i = before.stop - 1
+        for j in range(stop - 1, start - 1, -1):  # what the stretch before offers, from the far end
+            while i >= before.start and places[i] >= places[j] - room:
+                y = pieces * places[i]
+                reach.add(40 * y, best[i] + 20 * y * y, i)
+                i -= 1
+            older[j] = reach.least(-x[j], True)
+        inside = _Hull()
+        for j in range(start, stop):
+            low, chosen = older[j] or (None, -2)
+            if places[j] <= limit:  # the first piece
+                first = 20 * ((x[j] - pieces * overlap) ** 2 - x[j] ** 2)
+                if low is None or first <= low:
+                    low, chosen = first, -1
+            if (found := inside.least(x[j], False)) and (low is None or found[0] < low):
+                low, chosen = found
+            best[j], back[j] = low + 20 * x[j] ** 2 + own[j], chosen
+            y = pieces * places[j]
+            inside.add(-40 * y, best[j] + 20 * y * y, j)
+        before, start = range(start, stop), stop  # no two boundaries are a room apart
     ends, j = [], len(places) - 1
     while j >= 0:
         ends.append(places[j])
@@ -92,21 +145,19 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def limits(chunks: DataFrame, config: DataFrame) -> DataFrame:
-    """The chunks with ``lim`` and ``over`` of their language.
+    """The chunks that may be too long, with ``lim`` and ``over`` of their language.
 
     A language without a row, a null language and a null value take the value of the row
-    ``default``.  Of repeated rows of a language the largest values hold.  The configuration
-    has a row per language, so it is small by its nature.
+    ``default``; a limit below 1 counts as null.  Of repeated rows of a language the largest
+    values hold.  The configuration is joined, so it may have any number of rows.
     """
-    values = config.groupBy("language").agg(F.max("max_chunk_size").alias("m"), F.max("overlap_chars").alias("o"))
-    rows = {r["language"]: (r["m"], r["o"]) for r in values.where(F.col("language").isNotNull()).limit(10_000).collect()}
-    m0, o0 = rows.get("default", (1500, 150))
-    m0, o0 = 1500 if m0 is None else m0, 150 if o0 is None else o0
-    lim, over = F.lit(m0), F.lit(o0)
-    if own := {k: (m0 if m is None else m, o0 if o is None else o) for k, (m, o) in rows.items() if k != "default"}:
-        pick = lambda i, d: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in own.items() for x in (k, v[i])]), F.coalesce("language", F.lit(""))), F.lit(d))
-        lim, over = pick(0, m0), pick(1, o0)
-    return chunks.withColumns({"lim": lim.cast("int"), "over": over.cast("int")})
+    limit, overlap = F.when(F.col("max_chunk_size") > 0, F.col("max_chunk_size")), F.col("overlap_chars")
+    values = config.where(F.col("language").isNotNull()).groupBy(F.col("language").alias("_of")).agg(F.max(limit).alias("_m"), F.max(overlap).alias("_o"))
+    named = config.where(F.col("language") == "default")
+    m0, o0 = F.coalesce(named.agg(F.max(limit)).scalar(), F.lit(1500)), F.coalesce(named.agg(F.max(overlap)).scalar(), F.lit(150))
+    least = F.coalesce(F.least(config.agg(F.min(limit)).scalar(), m0), F.lit(1500))
+    placed = chunks.where(F.length("content") > least).join(values, F.col("language") == F.col("_of"), "left")
+    return placed.withColumns({"lim": F.coalesce("_m", m0).cast("int"), "over": F.coalesce("_o", o0).cast("int")}).drop("_of", "_m", "_o")
 
 
 def split_oversized(chunks: DataFrame, config: DataFrame) -> DataFrame:
