@@ -7,11 +7,14 @@ number of blocks of each source: at every node the left side draws its share wit
 replacement, so that every shard is a fair draw of the whole and no block is lost or used
 twice.  Documents follow their blocks, and each shard is shuffled on its own.
 
-Only block totals reach the driver: at most sources x BLOCKS rows, whatever the corpus.
+Blocks are as fine as the largest source needs.  Their quotas and permutations are running
+sums in Spark; only totals per source reach the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +22,30 @@ from pyspark.sql import functions as F
 from loam.llm.tokenize import count_tokens
 from loam.sources.tables import collect_bounded, materialize
 
-BLOCKS = 1024
+BLOCKS, MOST_BLOCKS = 1024, 65_536  # blocks of a source, at least and at most
+BLOCK_TOKENS = 1_000_000  # tokens that a block of the largest source aims at
 SHARDS = 16
 SOURCES = 1000  # most target rows
-SMALL = 200_000  # most rows of a plan that is broadcast; a larger one is joined by a shuffle
+
+
+@dataclass(frozen=True)
+class Source:
+    """What a source has and gives: ``passes`` whole ones and ``rest`` tokens of one more."""
+
+    source: str
+    weight: float
+    max_repeats: int
+    available: int
+    quota: int
+    reached: bool
+
+    @property
+    def passes(self) -> int:
+        return self.quota // self.available if self.available else 0
+
+    @property
+    def rest(self) -> int:
+        return self.quota % self.available if self.available else 0
 
 
 def split_tree(rng: np.random.Generator, blocks: np.ndarray, shards: int) -> list[np.ndarray]:
@@ -35,49 +58,50 @@ def split_tree(rng: np.random.Generator, blocks: np.ndarray, shards: int) -> lis
 
 
 def sized(documents: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, n_tokens and block of every document with a source, written once."""
+    """doc_id, source, n_tokens and the finest block of every document with a source, written once."""
     counted = count_tokens(documents.where(F.col("source").isNotNull()), ["doc_id", "source"])
-    return materialize(counted.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source"), F.lit(BLOCKS)).cast("int")))
-
+    return materialize(counted.withColumn("fine", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source"), F.lit(MOST_BLOCKS)).cast("int")))
 
-def plan(docs: DataFrame, targets: DataFrame, total: int | None, seed: int) -> tuple[list[tuple], list[tuple]]:
-    """The blocks of every shard and, per source, what it gives.
 
-    Blocks: (source, block, copy, shard, most), most being the tokens to take of a cut block.
-    Sources: (source, weight, max_repeats, available, quota).
-    """
+def quotas(docs: DataFrame, targets: DataFrame, total: int | None) -> list[Source]:
+    """What each source gives: its weight of all tokens, or all that its repeats allow."""
     goals = collect_bounded(targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("repeats")), SOURCES)
-    names = [g["source"] for g in sorted(goals, key=lambda g: g["source"])]
-    goal = {g["source"]: (max(g["weight"] or 0.0, 0.0), max(g["repeats"] or 0, 0)) for g in goals}
-    sums = collect_bounded(docs.where(F.col("source").isin(names)).groupBy("source", "block").agg(F.sum("n_tokens").alias("t")), SOURCES * BLOCKS) if names else []
-    tokens: dict[str, np.ndarray] = {s: np.zeros(BLOCKS, np.int64) for s in names}
-    for r in sums:
-        tokens[r["source"]][r["block"]] = r["t"]
-    have = {s: int(tokens[s].sum()) for s in names}
+    names = sorted(g["source"] for g in goals)
+    have = {r["source"]: int(r["t"]) for r in docs.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()} if names else {}
     whole = sum(have.values()) if total is None else total
-    rng = np.random.default_rng(seed)
-    units: dict[str, list[tuple]] = {}
-    quota = {}
-    for s in names:
-        weight, repeats = goal[s]
-        quota[s] = min(round(weight * whole), repeats * have[s])
-        full, rest = divmod(quota[s], have[s]) if have[s] else (0, 0)
-        used = [int(b) for b in np.flatnonzero(tokens[s])]
-        order = [(b, c, -1) for c in range(full) for b in used]
-        for b in rng.permutation(used).tolist():  # the partial pass
-            if rest <= 0:
-                break
-            size = int(tokens[s][b])
-            order.append((b, full, -1 if size <= rest else rest))
-            rest -= size
-        units[s] = [order[i] for i in rng.permutation(len(order))]
-    at = dict.fromkeys(names, 0)
     out = []
-    for shard, counts in enumerate(split_tree(rng, np.array([len(units[s]) for s in names], np.int64), SHARDS) if names else []):
-        for s, n in zip(names, counts.tolist()):
-            out += [(s, b, c, shard, most) for b, c, most in units[s][at[s] : at[s] + n]]
-            at[s] += n
-    return out, [(s, goal[s][0], goal[s][1], have[s], quota[s]) for s in names]
+    for g in sorted(goals, key=lambda g: g["source"]):
+        weight, repeats, own = max(g["weight"] or 0.0, 0.0), max(g["repeats"] or 0, 0), have.get(g["source"], 0)
+        wanted = round(weight * whole)
+        out.append(Source(g["source"], weight, repeats, own, min(wanted, repeats * own), wanted <= repeats * own))
+    return out
+
+
+def plan(docs: DataFrame, sources: list[Source], seed: int) -> tuple[DataFrame, int]:
+    """source, block, copy, shard and most (the tokens to take of a cut block, else null) of
+    every block that is drawn, and how many blocks a source has."""
+    spark = docs.sparkSession
+    size = max((s.available for s in sources), default=0)
+    blocks = BLOCKS
+    while blocks < MOST_BLOCKS and size > blocks * BLOCK_TOKENS:
+        blocks *= 2
+    given = spark.createDataFrame([(s.source, s.passes, s.rest) for s in sources], "source string, passes int, rest bigint")
+    # a row per source: its bound is SOURCES
+    sums = docs.where(F.col("n_tokens") > 0).groupBy("source", (F.col("fine") % blocks).alias("block")).agg(F.sum("n_tokens").alias("size")).join(F.broadcast(given), "source")
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block"), "block")
+    placed = materialize(sums.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
+    partial = F.col("before") < F.col("rest")
+    counts = {r["source"]: int(r["n"]) for r in placed.groupBy("source").agg(F.sum(F.col("passes") + partial.cast("int")).alias("n")).collect()}
+    tree = split_tree(np.random.default_rng(seed), np.array([counts.get(s.source, 0) for s in sources], np.int64), SHARDS) if sources else []
+    ends = spark.createDataFrame([(s.source, [int(x) for x in np.cumsum([t[i] for t in tree])]) for i, s in enumerate(sources)], "source string, ends array<bigint>")
+    copies = F.explode(F.sequence(F.lit(0), F.col("passes") - F.when(partial, 0).otherwise(1))).alias("copy")
+    units = placed.where((F.col("passes") > 0) | partial).select("source", "block", "size", "before", "passes", "rest", copies)
+    left = F.col("rest") - F.col("before")
+    cut = F.when((F.col("copy") == F.col("passes")) & (left < F.col("size")), left)
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 3), "source", "block", "copy"), "block", "copy"))
+    drawn = units.select("source", "block", "copy", cut.alias("most"), nth.alias("nth")).join(F.broadcast(ends), "source")
+    shard = F.size(F.filter("ends", lambda e: e < F.col("nth")))
+    return drawn.select("source", "block", "copy", shard.alias("shard"), "most"), blocks
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
@@ -89,16 +113,16 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     target is never mixed; documents without tokens add nothing and are left out.  A null or
     negative weight or number of repeats is 0.  Copies of a document count from 0.
     """
-    spark = documents.sparkSession
     docs = sized(documents, seed)
-    blocks, _ = plan(docs, targets, total, seed)
-    return _drawn(spark, docs, blocks, seed)
+    return _drawn(docs, quotas(docs, targets, total), seed)
 
 
-def _drawn(spark, docs: DataFrame, blocks: list[tuple], seed: int) -> DataFrame:
-    chosen = spark.createDataFrame(blocks, "source string, block int, copy int, shard int, most bigint")
-    rows = docs.where(F.col("n_tokens") > 0).join(F.broadcast(chosen) if len(blocks) <= SMALL else chosen, ["source", "block"])
-    whole, partial = rows.where(F.col("most") < 0), rows.where(F.col("most") >= 0)
+def _drawn(docs: DataFrame, sources: list[Source], seed: int) -> DataFrame:
+    chosen, blocks = plan(docs, sources, seed)
+    # the join's key is a block, so no source is a hot key
+    rows = docs.where(F.col("n_tokens") > 0).withColumn("block", F.col("fine") % blocks).join(chosen, ["source", "block"])
+    rows = materialize(rows)
+    whole, partial = rows.where(F.col("most").isNull()), rows.where(F.col("most").isNotNull())
     # at most one block of each source is cut: the documents that end within what is left of its quota
     upto = F.sum("n_tokens").over(Window.partitionBy("source", "block", "copy").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     partial = partial.withColumn("upto", upto).where(F.col("upto") <= F.col("most")).drop("upto")
@@ -111,10 +135,9 @@ def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, s
     actual share of all drawn tokens and whether the target could be reached."""
     spark = documents.sparkSession
     docs = sized(documents, seed)
-    blocks, sources = plan(docs, targets, total, seed)
-    drawn = _drawn(spark, docs, blocks, seed).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    wanted = spark.createDataFrame(sources, "source string, weight double, max_repeats int, available bigint, quota bigint")
-    whole = sum(s[3] for s in sources) if total is None else total
+    sources = quotas(docs, targets, total)
+    drawn = _drawn(docs, sources, seed).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    wanted = spark.createDataFrame([(s.source, s.weight, s.max_repeats, s.available, s.quota, s.reached) for s in sources], "source string, weight double, max_repeats int, available bigint, quota bigint, reached boolean")
     got = F.coalesce("tokens", F.lit(0))
     all_of = F.sum(got).over(Window.partitionBy(F.lit(1)))
-    return wanted.join(drawn, "source", "left").select("source", "weight", "max_repeats", "available", "quota", got.alias("tokens"), F.coalesce(F.try_divide(got, all_of), F.lit(0.0)).alias("share"), (F.col("quota") >= F.round(F.col("weight") * whole)).alias("reached"))
+    return wanted.join(drawn, "source", "left").select("source", "weight", "max_repeats", "available", "quota", got.alias("tokens"), F.coalesce(F.try_divide(got, all_of), F.lit(0.0)).alias("share"), "reached")
