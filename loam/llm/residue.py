@@ -1,9 +1,12 @@
 """Template residue and error-page text.
 
 Normalised lines are counted by host, here the namespace, and what recurs there (navigation,
-footers, headings) is subtracted from a document.  It is a leftover if its prose holds an
-unfilled placeholder or an empty value in a placeholder's stead, if it holds filler text, or
-if what remains of it is mostly an error message or a notice that scripts are required.
+footers, headings) is subtracted from a document.  It is a leftover if the prose that remains
+holds an unfilled placeholder or an empty value in a placeholder's stead, or filler text, or
+if what remains is mostly an error message or a notice that scripts are required.
+
+A worker finds in each document the lines that could be evidence and, beside errors and
+notices, the other lines; all of them then meet the counts, and only what is left decides.
 
 Program text, code blocks, inline code, quotations, log lines and parameters of paths and
 commands are no prose.
@@ -12,6 +15,7 @@ commands are no prose.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +43,9 @@ _CODE_LINE = re.compile(
 )
 _PROGRAM = re.compile(r"^(?:import |from \w+ import |def |class |func |package |const |let |var |function |export |public |private |async |@\w+|#!/|\"\"\"|//|/\*)", re.M)
 
+_LINE = re.compile(r"[^\r\n]+")
+_NO_BREAK = re.compile(r"[^\r\n]")
+
 # --- placeholders -----------------------------------------------------------------------
 
 #: The forms in which templates mark what is to be filled in.  Fixed values.
@@ -55,6 +62,13 @@ _EMPTY_VALUE = re.compile(
     re.I,
 )
 
+#: Words of sentences about placeholders.  Fixed values.
+_SPEAKS = re.compile(
+    r"\b(?:placeholders?|template (?:tags?|engines?|syntax|languages?|variables?)|(?:the|an?|this|each|every|nested|closing|opening) (?:tags?|macros?|directives?|syntax|variables?|expressions?|delimiters?)\b|interpolat\w+|jinja|mustache|handlebars|liquid|twig|freemarker|velocity|thymeleaf"
+    r"|(?:environment|shell|template) variables?|(?:set|export|unset|define) (?:\$|%|\{)|write (?:your|the|an?)\b.{0,30}\bas\b|(?:is|are|gets?|will be) (?:replaced|expanded|substituted|escaped|interpolated)|(?:platzhalter|espace réservé|marcador de posición|плейсхолдер|プレースホルダ))",
+    re.I,
+)
+
 # --- filler -----------------------------------------------------------------------------
 
 _LATIN = frozenset(
@@ -77,6 +91,8 @@ _ERROR = re.compile(
     r"|(?:sorry, )?(?:this |the )?(?:page|file|document|resource) (?:not found|could not be found|does not exist|is unavailable|cannot be displayed)|access (?:denied|to this (?:page|resource) is denied)|permission denied|(?:oops|whoops|uh[- ]oh)\b.{0,60}$|something (?:went wrong|broke)"
     r"|application error\b.{0,80}|an? (?:unexpected |unknown |internal )?(?:error|exception) (?:has )?occurred|backend fetch failed|fatal error:.{0,80}|traceback \(most recent call last\)|unhandled exception|this site can[’']t be reached|your session has expired"
     r"|zugriff verweigert|seite nicht gefunden|die (?:angeforderte )?seite .{0,20}(?:nicht gefunden|gibt es nicht|existiert nicht)|accès (?:refusé|interdit)|page (?:introuvable|non trouvée)|le service est (?:momentanément |temporairement )?indisponible|acceso denegado|página no encontrada|el servidor no responde"
+    r"|we (?:hit a snag|ran into an? (?:problem|error|issue)|encountered an? (?:problem|error|issue))|you have been (?:rate[- ]limited|blocked)|rate limit exceeded|temporarily (?:down|offline)"
+    r"|pagina non trovata|accesso negato|errore (?:interno )?del server|servizio non disponibile|(?:nie znaleziono strony|strona nie (?:została znaleziona|istnieje))|(?:dostęp zabroniony|odmowa dostępu)|błąd serwera|página não encontrada|acesso negado|pagina niet gevonden|toegang geweigerd"
     r"|страница не найдена|доступ запрещ[её]н|сервер(?: временно)? (?:не отвечает|недоступен)|ページが見つかりません|アクセスが拒否|サーバーエラー)",
     re.I,
 )
@@ -90,6 +106,7 @@ _NAMES_SCRIPTS = re.compile(r"js|JS|Js|script|Script|SCRIPT")
 _SCRIPT = re.compile(
     rf"(?:enable|activate|allow|turn on|switch on|permit)\b.{{0,20}}\b{_JS}\b|\b{_JS}\b.{{0,30}}\b(?:is|are|be|seems?|has been)\b.{{0,20}}\b(?:required|needed|disabled|enabled|blocked|off|turned off|switched off|necessary)\b|\b{_JS} (?:disabled|required|needed|off)\b|\b(?:needs?|requires?)\b.{{0,10}}\b{_JS}\b"
     rf"|\b(?:without|not run|not support)\b.{{0,10}}\b{_JS}\b|\b(?:aktivieren|einschalten|erlauben)\b.{{0,20}}\b{_JS}\b|\b{_JS}\b.{{0,20}}\b(?:voraus|aktivieren|deaktiviert|erforderlich|ausgeschaltet)\b|\bsans {_JS}\b|\bactiver\b.{{0,10}}\b{_JS}\b|\b{_JS}\b.{{0,20}}\b(?:désactivé|requis|nécessaire)"
+    rf"|\b(?:attiva(?:re)?|abilita(?:re)?|włącz(?:yć)?|wymaga(?:na)?|ativ[ae]r?|habilite|schakel|vereist)\b.{{0,20}}\b{_JS}\b|\b{_JS}\b.{{0,20}}\b(?:disattivat[oa]|disabilitat[oa]|richiesto|necessario|wyłączon[ay]|wymagan[ay]|desativado|necessário|uitgeschakeld|vereist)\b"
     rf"|\b(?:active|habilite|activar|habilitar)\b.{{0,10}}\b{_JS}\b|\bno admite {_JS}\b|\b{_JS}\b.{{0,20}}\b(?:desactivado|necesario)|включите {_JS}|{_JS}\b.{{0,20}}(?:отключ|требуется)|{_JS}を(?:有効|オン)|{_JS}が(?:無効|必要)",
     re.I,
 )
@@ -120,7 +137,8 @@ _FILLER_SIGNS = (
 _PAGE_SIGNS = (
     "bad request|unauthorized|payment required|forbidden|not found|not allowed|request timeout|too large|too many requests|server error|internal error|not implemented|bad gateway|unavailable|gateway time|"
     "<error|\"error\"|\"errors\"|\"detail\"|\"status\"|\"statuscode\"|\"code\"|<title>|<h1>|access denied|is denied|permission denied|oops|uh-oh|uh oh|went wrong|something broke|application error|occurred|"
-    "fetch failed|fatal error|traceback|unhandled exception|could not be found|does not exist|cannot be displayed|be reached|has expired|verweigert|gibt es nicht|nicht gefunden|existiert nicht|refusé|interdit|introuvable|non trouvée|indisponible|denegado|no encontrad|no responde|не найдена|запрещ|не отвечает|недоступен|見つかりません|拒否|サーバーエラー"
+    "fetch failed|fatal error|traceback|unhandled exception|could not be found|does not exist|cannot be displayed|be reached|has expired|verweigert|gibt es nicht|nicht gefunden|existiert nicht|refusé|interdit|introuvable|non trouvée|indisponible|denegado|no encontrad|no responde|не найдена|запрещ|не отвечает|недоступен|hit a snag|ran into a|encountered a|rate-limited|rate limited|been blocked|limit exceeded|temporarily down|temporarily offline|"
+    "non trovata|negato|del server|non disponibile|nie znaleziono|nie została znaleziona|nie istnieje|zabroniony|odmowa dostępu|błąd serwera|não encontrada|niet gevonden|geweigerd|見つかりません|拒否|サーバーエラー"
 ).split("|")
 #: A status, after a word for one or at the end of a part; a name that is a common word, at the end of one or after a status.
 _STATUS_SIGN = re.compile(r"[45]\d\d(?:(?<=(?:error|rreur).{3})|(?<=(?:error|rreur)[ :].{3})|(?<=(?:fehler|status|código|ошибка).{3})|(?<=(?:fehler|status|código|ошибка)[ :].{3})|(?<=エラー.{3})|(?<=エラー[ :].{3})|(?<=[ :]{2}.{3}))\b|[45]\d\d\b(?=[\s:|\-–—]*(?:[\r\n]|\Z|conflict|gone)|[:|\-–—]*(?:[ \t]{2}|\t|[ \t][|·•>/›»–—-][ \t]))")
@@ -133,39 +151,67 @@ _SEPARATORS = r"[\r\n]+| {2,}|\t+| [|·•>/›»–—-] "
 _SPLIT = re.compile(_SEPARATORS)
 
 
+def _blank(m: re.Match) -> str:
+    return _NO_BREAK.sub(" ", m.group())
+
+
 def prose(text: str) -> str:
-    """The text without what is no prose, line by line."""
-    text = _INLINE_CODE.sub(" ", _FENCE.sub("\n", text))
-    lines = re.split(r"\r\n|\r|\n", text)
-    program = len(_PROGRAM.findall(text)) >= 2 and sum(bool(_CODE_LINE.search(x)) for x in lines) >= 0.4 * sum(bool(x.strip()) for x in lines)
-    if program:
+    """The text with blanks in the place of all that is no prose: every character keeps its place."""
+    text = _INLINE_CODE.sub(_blank, _FENCE.sub(_blank, text))
+    lines = [(m.start(), m.group()) for m in _LINE.finditer(text)]
+    if len(_PROGRAM.findall(text)) >= 2 and sum(bool(_CODE_LINE.search(x)) for _, x in lines) >= 0.4 * sum(bool(x.strip()) for _, x in lines):
         return ""
-    return "\n".join(x for x in lines if not (x.lstrip().startswith(">") or _LOG.match(x) or _CODE_LINE.search(x) and not _PLACEHOLDER.search(x)))
+    out, at = [], 0
+    for start, x in lines:
+        if x.lstrip().startswith(">") or _LOG.match(x) or _CODE_LINE.search(x) and not _PLACEHOLDER.search(x):
+            out += [text[at:start], " " * len(x)]
+            at = start + len(x)
+    return "".join(out) + text[at:]
 
 
-def holds_placeholder(text: str) -> bool:
-    """Whether prose holds an unfilled placeholder or a missing value printed in its place."""
-    for line in text.split("\n"):
-        if not _MAYBE.search(line):
+def placeholders(text: str) -> list[int]:
+    """Where prose holds an unfilled placeholder or a missing value printed in its place.
+
+    A sentence that speaks of placeholders, variables or tags holds none."""
+    out = []
+    for line in _LINE.finditer(text):
+        if not _MAYBE.search(line.group()):
+            continue
+        x = _QUOTED.sub(_blank, line.group())
+        for found in (_PLACEHOLDER, _EMPTY_VALUE):
+            for m in found.finditer(x):
+                if not _SPEAKS.search(x, max(x.rfind(". ", 0, m.start()), 0), (x.find(". ", m.end()) + 1 or len(x) + 1) - 1):
+                    out.append(line.start() + m.start())
+    return out
+
+
+def fillers(text: str) -> list[int]:
+    """Where sentences of the prose are filler."""
+    out = []
+    for a, b in _spans(_SENTENCES, _QUOTED.sub(_blank, text), 0, len(text)):
+        s = text[a:b]
+        if len(s.strip()) < 3:
             continue
-        line = _QUOTED.sub(" ", line)
-        if _PLACEHOLDER.search(line) or _EMPTY_VALUE.search(line):
-            return True
-    return False
+        if not _FILLER.match(s):
+            words = re.findall(r"[a-z]+", s.lower())
+            latin = [w for w in words if w in _LATIN]
+            if not (len(latin) >= 5 and len(latin) >= 0.7 * len(words) and len(set(latin) - _ORDINARY_LATIN) >= 3):
+                continue
+        out.append(a + len(s) - len(s.lstrip()))
+    return out
 
 
-def holds_filler(text: str) -> bool:
-    """Whether a sentence of the prose is filler."""
-    for s in _SENTENCES.split(_QUOTED.sub(" ", text)):
-        if len(s) < 3:
-            continue
-        if _FILLER.match(s):
-            return True
-        words = re.findall(r"[a-z]+", s.lower())
-        latin = [w for w in words if w in _LATIN]
-        if len(latin) >= 5 and len(latin) >= 0.7 * len(words) and len(set(latin) - _ORDINARY_LATIN) >= 3:
-            return True
-    return False
+def evidence(text: str, maybe: bool, filler: bool) -> list[tuple[str, int, str]]:
+    """(line, characters, kind) of the lines that hold placeholders or filler, as they are counted."""
+    text = _INVISIBLE.sub("", text)
+    body = prose(text)
+    places = [(at, "placeholder") for at in (placeholders(body) if maybe and body else ())] + [(at, "filler") for at in (fillers(body) if filler and body else ())]
+    if not places:
+        return []
+    lines = list(_spans(_SPLIT, text, 0, len(text)))
+    ends = [b for _, b in lines]
+    held = {(text[slice(*lines[min(bisect_right(ends, at), len(lines) - 1)])], kind) for at, kind in places}
+    return [(line, len(line), kind) for line, kind in sorted(held)]
 
 
 _EDGES = " \t#*|·•>/›»–—-=:.✅🚀"
@@ -287,18 +333,13 @@ def _automaton():
     return words
 
 
-def verdict(text: str) -> tuple[str | None, list[tuple[str, int, str]]]:
-    """placeholder, filler or null, and the parts of a document that may be an error or a notice."""
+def parts(text: str | None) -> list[tuple[str, int, str]]:
+    """(line, characters, kind) of all that may be evidence in a document: placeholder, filler,
+    error, script, and beside or other where there are errors or notices to weigh them with."""
     if not text or not text.strip():
-        return None, []
+        return []
     maybe, filler, page = signs(text)
-    if maybe or filler:
-        body = prose(text)
-        if maybe and holds_placeholder(body):
-            return "placeholder", []
-        if filler and holds_filler(body):
-            return "filler", []
-    return None, segments(text) if page else []
+    return (evidence(text, maybe, filler) if maybe or filler else []) + (segments(text) if page else [])
 
 
 # --- the operator -----------------------------------------------------------------------
@@ -334,33 +375,37 @@ def examine(documents: DataFrame) -> DataFrame:
 
     ``reason`` is placeholder, filler, error or script where ``residue`` holds, else null.
     Null, empty and blank texts hold nothing.  Documents without a namespace share a host.
-    A line that recurs is subtracted unless it is itself an error or a notice.
+    A line that recurs on its host, or on all hosts, is subtracted before anything is decided;
+    an error or a notice that recurs, and filler that recurs on other hosts, is evidence still,
+    as a failed page has no other content.
     """
     chosen = documents.select("doc_id", F.coalesce("namespace", F.lit("")).alias("host"), "text")
-    parts = "array<struct<at: int, line: string, size: int, kind: string>>"
+    kinds = "array<struct<at: int, line: string, size: int, kind: string>>"
 
     def look(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for b in batches:
-            made = [verdict(x) for x in b["text"]]
-            own = [o for o, _ in made]
-            found = [[{"at": i, "line": a, "size": n, "kind": k} for i, (a, n, k) in enumerate(f)] for _, f in made]
-            yield b.drop(columns="text").assign(own=pd.Series(own, dtype=object, index=b.index), parts=pd.Series(found, dtype=object, index=b.index))
-
-    looked = materialize(chosen.mapInPandas(look, f"doc_id bigint, host string, own string, parts {parts}"))
-    each = looked.where(F.size("parts") > 0).select("doc_id", "host", F.explode("parts").alias("p")).select("doc_id", "host", "p.*").withColumn("line", _key(_normalized(F.col("line"))))
-    told = F.col("kind").isin("error", "script")
-    on_host, everywhere = recurrent(documents, each.where(~told).select("line").distinct())
-    rest = each.where(~told).join(on_host, ["host", "line"], "left_anti").join(everywhere, "line", "left_anti").select("doc_id", "at", "size", "kind")
+            found = [[{"at": i, "line": a, "size": n, "kind": k} for i, (a, n, k) in enumerate(parts(x))] for x in b["text"]]
+            yield b.drop(columns="text").assign(parts=pd.Series(found, dtype=object, index=b.index))
+
+    looked = chosen.mapInPandas(look, f"doc_id bigint, host string, parts {kinds}")
+    each = looked.select("doc_id", "host", F.explode_outer("parts").alias("p")).select("doc_id", "host", "p.*")
+    each = materialize(each.withColumn("line", F.when(F.col("kind").isNotNull(), _key(_normalized(F.col("line"))))))
+    told, own = F.col("kind").isin("error", "script"), F.col("kind").isin("placeholder", "filler")
+    open_ = each.where(F.col("kind").isNotNull() & ~told)
+    on_host, everywhere = recurrent(documents, open_.select("line").distinct())
+    rest = open_.join(on_host, ["host", "line"], "left_anti")
+    rest = rest.where(own).unionByName(rest.where(~own).join(everywhere, "line", "left_anti")).select("doc_id", "at", "size", "kind")
+    size = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("size")).otherwise(0))
     left = rest.unionByName(each.where(told).select("doc_id", "at", "size", "kind")).groupBy("doc_id").agg(
-        F.min_by("kind", "at").alias("first"), F.sum("size").alias("all"), F.sum(F.when(F.col("kind") != "other", F.col("size")).otherwise(0)).alias("said"),
-        F.sum(F.when(F.col("kind") == "script", F.col("size")).otherwise(0)).alias("script"), F.sum(F.when(F.col("kind") == "error", F.col("size")).otherwise(0)).alias("error"),
-    )
-    pages = left.where((F.col("error") + F.col("script") > 0) & ((F.col("said") >= DOMINANT * F.col("all")) | F.col("first").isin("error", "script") & (F.col("all") <= SHORT))).select("doc_id", F.when(F.col("script") > F.col("error"), "script").otherwise("error").alias("page"))
-    own = looked.select("doc_id", "own").groupBy("doc_id").agg(F.max("own").alias("own"))
-    reason = F.coalesce("own", "page")
-    return own.join(pages, "doc_id", "left").select("doc_id", reason.isNotNull().alias("residue"), reason.alias("reason"))
+        F.min_by("kind", F.when(~own, F.col("at"))).alias("first"), size("error", "script", "beside", "other").alias("all"), size("error", "script", "beside").alias("said"), size("script").alias("script"), size("error").alias("error"),
+        F.bool_or(F.col("kind") == "placeholder").alias("placeholder"), F.bool_or(F.col("kind") == "filler").alias("filler"),
+    )
+    page = (F.col("error") + F.col("script") > 0) & ((F.col("said") >= DOMINANT * F.col("all")) | F.col("first").isin("error", "script") & (F.col("all") <= SHORT))
+    reason = F.when(F.col("placeholder"), "placeholder").when(F.col("filler"), "filler").when(page, F.when(F.col("script") > F.col("error"), "script").otherwise("error"))
+    judged = left.select("doc_id", reason.alias("reason"))
+    return each.select("doc_id").distinct().join(judged, "doc_id", "left").select("doc_id", F.col("reason").isNotNull().alias("residue"), "reason")
 
 
 def clean(documents: DataFrame) -> DataFrame:

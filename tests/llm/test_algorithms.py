@@ -160,6 +160,16 @@ def test_neighbours(spark):
     assert all(a < b for a, b in pairs) and len(pairs) >= 0.98 * len({tuple(sorted((a, b))) for a in want for b in want[a]})
 
 
+def test_full_lists_are_dealt_out(spark, monkeypatch):
+    """Cells of at most a few members give what whole lists give."""
+    rng = np.random.default_rng(4)
+    table = {f"v{i:04d}": (rng.standard_normal(64) + 3).astype(np.float32).tolist() for i in range(200)} | {f"w{i:03d}": [1.0] * 64 for i in range(60)}
+    frame = spark.createDataFrame([*table.items()], "id string, vector array<float>")
+    whole = sorted(map(tuple, neighbours.pairs(neighbours.nearest(frame)).collect()))
+    monkeypatch.setattr(neighbours, "FULL", 20)
+    assert sorted(map(tuple, neighbours.pairs(neighbours.nearest(frame)).collect())) == whole
+
+
 def test_neighbours_of_few(spark):
     schema = "id string, vector array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema)).count() == 0
@@ -236,6 +246,14 @@ def test_mixing(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def test_mixing_in_finer_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1)
+    frame = spark.createDataFrame([(i, "some words here " * (i % 7 + 1), "ab"[i % 3 == 0]) for i in range(300)], "doc_id bigint, text string, source string")
+    goals = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 5)], "source string, weight double, max_repeats int")
+    for r in mixing.shares(frame, goals).collect():
+        assert r["reached"] and r["quota"] - 30 <= r["tokens"] <= r["quota"]
+
+
 def test_mixing_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     goals = spark.createDataFrame([("a", None, None)], "source string, weight double, max_repeats int")

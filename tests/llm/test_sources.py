@@ -223,5 +223,25 @@ MISSING = [f"Dear {x}, hello" for x in ("undefined", "null", "Null", "NULL", "No
 
 def test_every_alternative_of_a_rule_has_a_sign():
     assert [x for x in PAGES if not residue.segments(x)] == [] and [x for x in PAGES if not residue.signs(x)[2]] == []
-    assert [x for x in FILLER if not residue.holds_filler(x)] == [] and [x for x in FILLER if not residue.signs(x)[1]] == []
-    assert [x for x in MISSING if not residue.holds_placeholder(x)] == [] and [x for x in MISSING if not residue.signs(x)[0]] == []
+    assert [x for x in FILLER if not residue.fillers(x)] == [] and [x for x in FILLER if not residue.signs(x)[1]] == []
+    assert [x for x in MISSING if not residue.placeholders(x)] == [] and [x for x in MISSING if not residue.signs(x)[0]] == []
+
+
+def test_texts_about_templates_are_no_cases():
+    about = ["In Jinja the tag {% include header %} pulls in another file", "Set ${HOME} before you start the tool", "Write your greeting as Hello {{name}}", "The placeholder {{name}} is replaced when the page is rendered.", "A closing tag such as <% end %> ends the block."]
+    assert [x for x in about if residue.parts(x)] == []
+    assert residue.parts("Dear {{name}}, welcome. The template tag is explained elsewhere.")[0][2] == "placeholder"
+
+
+def test_pages_of_further_languages():
+    pages = ["We hit a snag while loading this page.", "You have been rate limited.", "Pagina non trovata", "Accesso negato", "Błąd serwera. Spróbuj później.", "Nie znaleziono strony", "Página não encontrada", "Toegang geweigerd"]
+    notices = ["Włącz JavaScript, aby korzystać z tej strony.", "Attiva JavaScript per continuare.", "Ative o JavaScript no seu navegador.", "JavaScript is uitgeschakeld"]
+    assert [x for x in pages if not any(k == "error" for _, _, k in residue.parts(x))] == []
+    assert [x for x in notices if not any(k == "script" for _, _, k in residue.parts(x))] == []
+
+
+def test_evidence_in_recurring_lines_is_subtracted(spark):
+    """A placeholder in a host's navigation isn't the document's; one in its own text is."""
+    menu = "Home {{site_name}} Help"
+    texts = [(i, f"{menu}\nA page about subject number {chr(97 + i)} and what it is good for.", "n") for i in range(12)] + [(50, menu + "\nDear {{user}}, here is the page.", "n"), (51, menu + "\nSomething else altogether.", "other")]
+    assert found(spark, texts) == {50, 51}
