@@ -23,7 +23,7 @@ import re
 OPEN = {"(": ")", "[": "]", "{": "}"}
 CLOSE = frozenset(")]}")
 
-EXTENSIONS = {"py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "java": "java", "go": "go"}
+EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "java": "java", "go": "go"}
 
 _BRACKETS = r"\(|\)|\[|\]|\{|\}"
 # A marker line: seven equal characters at the start of a line, then a blank or the line's end.

@@ -1,9 +1,13 @@
 """Source files that do not parse.
 
+No operator may stand before a closing delimiter, the end of a statement or of the file.
 ``parse_errors`` runs the lexer of the file's language with its pushdown stack and then
 looks at the skeleton for what the language's grammar can't continue with:
 
-* Python: the text is compiled to a syntax tree, which decides.
+* Python: a second pushdown stack follows the indentation and what each block began with; a
+  block must follow its head, heads end in a colon, ``else`` and the like need their partner, and
+  two operands or an operator without one can't stand side by side.  What stack and lexer
+  report is then confirmed or cleared by the compiler, which is asked about nothing else.
 * Go: a package clause must come first; only import, func, type, var and const may begin a
   top-level declaration; a line can't end in a semicolon after a closed block, and words of
   other languages can't stand where a statement begins.
@@ -17,6 +21,7 @@ looks at the skeleton for what the language's grammar can't continue with:
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import warnings
 from collections.abc import Iterator
@@ -52,6 +57,86 @@ _GO_TOP = re.compile(r"(?:import|func|type|var|const)\b")
 _GO_FOREIGN = re.compile(r"(?m:^[ \t]*(?:public|private|protected|class|function|export|def|let|while|try|throw|elif|async|from|@\w+)\b[ \t({]*)|=>|->|===|(?m:\}[ \t]*;[ \t\r]*$)|(?m:^[ \t]*(?:if|while|switch|for)[ \t]*\([^\n]*\)[ \t]*\{[ \t\r]*$)|(?m:^\s*#[ \t])")
 
 
+#: An operator that lacks its right operand, or its left one.
+_DANGLING = re.compile(r"(?:(?<![=!<>])=(?!>)|[+\-*/%&|^!<>=]=|&&|\|\||\?\?|%|\^|(?<!\+)\+(?!\+)|(?<!-)-(?!-))\s*+(?:[;)\]}]|\Z)|[=+/%&|^-][ \t]++=(?![=>])")
+_NO_NAME = re.compile(r"(?<![\w$.])(?:const|let|var)[ \t]*+=(?![=>])")
+
+# --- Python -----------------------------------------------------------------------------
+
+_GROUP = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_JOINED = re.compile(r"\\\r?\n")
+_PY_WORDS = frozenset([*keyword.kwlist, "match", "case", "type"])
+_PY_VALUES = frozenset(("None", "True", "False"))
+_PY_ENDS = frozenset("return yield pass break continue raise else try finally except lambda case print match type".split()) | _PY_VALUES
+_PY_OPERANDS = re.compile(r"([\w.]++|\"\"|\(\))[ \t]++(?=([\w\"(]\w*))")
+_PY_ODD = re.compile(r"[?$`]|!(?!=)|&&|\|\||\+\+$|:=\s*$|=[ \t]+=(?!=)|=>|(?<![\w)\]}\"])\.(?![\w.])|;;|//=?\s*$|[=+\-*/%&|^<>~@]\s*(?:[:;,]|$)|\b(?:and|or|not|in|is|if|import|from|as|del|global|nonlocal|assert|elif|while|for|with|def|class|await|else|lambda|case)\s*$|(?<![.])\.\s*$|^\s*assert\b.*,\s*$|^\s*(?:match|case)[ \t]+[\w\"(][^:=]*$|[\w)\"][ \t]+if\b(?!.*(?:\belse\b|:[ \t\r]*$))", re.M)
+_PY_HEAD = re.compile(r"(?:async[ \t]+)?(if|elif|else|for|while|try|except|finally|with|def|class)\b")
+#: What an else or the like may follow.
+_PARTNER = {"else": ("if", "elif", "for", "while", "except"), "elif": ("if", "elif"), "except": ("try", "except"), "finally": ("try", "except", "else")}
+
+
+def _python(s: str) -> str | None:
+    """What the stack of blocks can't accept in the skeleton of a Python source."""
+    s = _JOINED.sub(" ", s)
+    if (m := _PY_ODD.search(_inner(s))) and " if" not in m.group():  # a comprehension has no else
+        return f"'{m.group().strip()[:20]}' within brackets"
+    while (t := _GROUP.sub("\x01", s)) != s:
+        s = t
+    s = s.replace("\x01", "()")
+    indents, kinds, opened = [0], [""], None
+    for line in s.split("\n"):
+        text = line.strip()
+        if not text:
+            continue
+        width = len(line) - len(line.lstrip())
+        if "\t" in line[:width]:
+            width = len(line[:width].expandtabs())
+        if opened:
+            if width <= indents[-1]:
+                return f"no block after '{opened}'"
+            indents.append(width)
+            kinds.append("")
+            opened = None
+        elif width > indents[-1]:
+            return "unexpected indent"
+        else:
+            while width < indents[-1]:
+                if kinds[-1] == "try":
+                    return "'try' without 'except' or 'finally'"
+                indents.pop()
+                kinds.pop()
+            if width != indents[-1]:
+                return "unindent to no outer level"
+        head = _PY_HEAD.match(text)
+        word = head.group(1) if head else ""
+        if kinds[-1] == "try" and word not in ("except", "finally") or word in _PARTNER and kinds[-1] not in _PARTNER[word]:
+            return f"'{word or kinds[-1]}' without its partner"
+        kinds[-1] = word
+        if text[-1] == ":":
+            opened = text.split(None, 1)[0]
+            if not word and not re.match(r"(?:match|case)\b|async\s", text):
+                return f"':' after '{text[:20]}'"
+        elif word and ":" not in text:
+            return f"no ':' after '{word}'"
+        if m := _PY_ODD.search(text):
+            return f"'{m.group().strip()[:20]}' is out of place"
+        for a, b in _PY_OPERANDS.findall(text):
+            if (a not in _PY_WORDS or a in _PY_VALUES) and (b not in _PY_WORDS or b in _PY_VALUES) and not (b[0] == "(" and a[0] not in "(\"") and not (a == b == '""'):
+                if not (a == '""' and b[0] == '"') and not re.fullmatch(r"[rbfuRBFU]{1,2}", b):
+                    return f"'{b[:20]}' after '{a[:20]}'"
+    if opened:
+        return f"no block after '{opened}'"
+    return "'try' without 'except' or 'finally'" if "try" in kinds else None
+
+
+def _inner(s: str) -> str:
+    """The insides of the innermost brackets, one a line."""
+    return "\n".join(x[1:-1].replace("\n", " ").strip(" ,*:") for x in _GROUP.findall(s))
+
+
+# --- the other languages ----------------------------------------------------------------
+
+
 def _outside(skeleton: str) -> str:
     """The skeleton with the insides of its outermost blocks removed."""
     depth, at, out = 0, 0, []
@@ -135,25 +220,29 @@ def parse_errors(path: str | None, content: str | None) -> list[str] | None:
 
 
 def shape_errors(content: str, skeleton: str, errors: list[str], lang: str) -> list[str]:
-    """The lexer's errors or, beyond them, what the skeleton or the compiler tells."""
+    """The lexer's errors or, beyond them, what the skeleton tells; in Python if the compiler agrees."""
     if lang == "python":
-        return python_errors(content, errors)
+        if not errors and (said := _python(skeleton)):
+            errors = [said]
+        return confirmed(content, errors) if errors else []
     if errors:
         return errors
     said = _go(skeleton) if lang == "go" else _java(skeleton) if lang == "java" else _javascript(skeleton, lang == "typescript")
+    if not said and (m := _DANGLING.search(skeleton) or lang in ("javascript", "typescript") and _NO_NAME.search(skeleton)):
+        said = f"'{m.group().strip()[:20]}' lacks an operand"
     return [said] if said else []
 
 
-def python_errors(content: str, lexical: list[str]) -> list[str]:
-    """Python has its exact check: the lexer's error holds if the compiler finds one as well."""
+def confirmed(content: str, said: list[str]) -> list[str]:
+    """What lexer and stack said of a Python source, unless the compiler accepts it all the same."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(content, "file", "exec", ast.PyCF_ONLY_AST)
     except (SyntaxError, ValueError) as e:
-        return [*lexical, str(getattr(e, "msg", e))]
+        return [*said, str(getattr(e, "msg", e))]
     except (RecursionError, MemoryError):
-        return lexical
+        return said
     return []
 
 

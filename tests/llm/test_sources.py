@@ -20,9 +20,11 @@ def files(spark, rows):
 VALID = [
     ("a.js", "const r = /[{(\\[]\\s*$/.test(x) ? `a${`b${1}`}c` : 'it\\'s';\nfor await (const [k, v] of f()) { g(k / 2 / v); }\n"), ("a.ts", "export async function f(a: Map<string, number>): Promise<{ id: string }> {\n  return a as unknown as any;\n}\n"),
     ("A.java", 'package a.b;\n\n/** x */\n@Timed("a")\npublic final class A {\n  char c = \'{\';\n  String s = """\n    { "id": 5,\n    """;\n  int f() { return 1; }\n}\n'), ("a.go", "package p\n\nimport (\n\t\"fmt\"\n)\n\n// } closes\nfunc F(a []string) error {\n\ts := `{ \"open\": [`\n\tif x := g(s); x != nil {\n\t\treturn x\n\t}\n\treturn nil\n}\n"),
+    ("f.ts", "x++; y--; if (a-- > b) { }\ntype A<T = B> = C;\nlet m: Map<string> = new Map();\nconst o = { a: 1 } as const;\n"), ("g.py", "for x in y:\n    pass\nelse:\n    pass\ntry:\n    a = (b +\n      c)\nexcept E:\n    d = [\n  1,\n]\nmatch = a if b else c\nmatch a:\n    case [x, *_] if x:\n        pass\nasync def f(): return await g()\n"),
     ("a.py", "def f(x):\n    return f\"{x!r}:{1:>8}\"\n"), ("b.py", ""), ("b.go", "  \n"), ("a.unknown", "((("), ("c.js", "// <<<<<<< ours\nconst s = \"=======\";\n/*\n>>>>>>> theirs\n*/\n"), ("d.js", "class A { static async m({ a, b } = {}) { return { a, ...b }; } get x() { return 1 } }\nexport default A\n"),
 ]
 INVALID = [
+    ("f.js", "g(1 +);\n"), ("g.js", "let x = = 3;\n"), ("h.js", "const = 4;\n"), ("C.java", "class A { void f() { int x = ; } }\n"), ("c.go", "package a\nfunc f() {\n\tx := }\n"), ("k.cjs", "f(\n"), ("d.py", "x = 1 +\n"), ("e.py", "if a:\nb()\n"), ("f.py", "else:\n    pass\n"), ("g.py", "try:\n    a()\nb()\n"), ("h.py", "for x in y\n    pass\n"), ("i.pyi", "def f() -> :\n    pass\n"),
     ("a.js", "function f() {\n"), ("b.js", "const s = 'open;\n"), ("c.js", "<<<<<<< ours\nf();\n=======\ng();\n>>>>>>> theirs\n"), ("d.js", "export function f(a: string): number {\n  return 1;\n}\n"), ("e.js", "interface A {\n  b: string;\n}\n"), ("a.ts", "package main\n\nfunc F() int {\n\treturn 1\n}\n"),
     ("b.ts", "# Title\n\nThis is a text about things.\n"), ("c.ts", "f(]);\n"), ("A.java", "func F() int {\n\treturn 1\n}\n"), ("B.java", "class A {\n  /* open\n}\n"), ("a.go", "func F() {}\n"), ("b.go", "package p\n\npublic class A {\n}\n"), ("a.py", "def f(:\n"), ("b.py", "function f() {}\n"), ("c.py", "def f():\n    x = 1\n   y = 2\n"), ("e.ts", "const t = `open ${x;\n"),
 ]
@@ -56,8 +58,19 @@ def test_check_table(spark):
     assert syntax.check(both.limit(0)).count() == 0
 
 
+def test_the_compiler_is_asked_only_about_what_the_stack_reports(monkeypatch):
+    monkeypatch.setattr(syntax, "confirmed", lambda *a: ["asked"])
+    assert [syntax.parse_errors(p, t) for p, t in VALID if p.endswith(".py")] == [[]] * sum(p.endswith(".py") for p, _ in VALID)
+    assert all(syntax.parse_errors(p, t) == ["asked"] for p, t in INVALID if p.endswith(".py"))
+
+
 # --- documented functions ---
 
+def test_comments_among_parameters():
+    assert docpairs._split('a, b=")", # note (x\n c=1', "python") == ["a", 'b=")"', "c=1"]
+    assert docpairs._split("a, // first (one\n b /* { */, c", "javascript") == ["a", "b", "c"]
+
+
 DOCUMENTED = [
     ("a.py", '@dec\nasync def load_index(path: str, *, limit=3) -> list[str]:\n    """Reads the index from disk."""\n\ndef bare(): pass\n', [("load_index", 2, ["path", "limit"], "list[str]")]),
     ("a.js", "/**\n * Sorts rows by age.\n * @param rows\n */\nexport const sortRows = async (rows, { by = 1 } = {}) => {\n};\nclass A {\n  /** Opens the gate. */\n  // eslint-disable-next-line\n  static open(a) { }\n}\n", [("sortRows", 5, ["rows", "{ by = 1 }"], None), ("open", 10, ["a"], None)]),
