@@ -85,8 +85,13 @@ _DEF = re.compile(r"^[ \t]*+(?:async[ \t]+)?def[ \t]", re.M)
 _GO_DIRECTIVE = re.compile(r"//(?:go:|line |export |nolint|lint:|[a-z0-9]+:[a-z0-9])")
 
 
-def _split(params: str) -> list[str]:
-    """The parts of a parameter list between its outermost commas."""
+_REMARK = {"python": re.compile(rf"(?s:{_PY_STRING})|#[^\n]*")} | dict.fromkeys(("javascript", "typescript", "java", "go"), re.compile(rf"{_STRING}|//[^\n]*|/\*(?s:.*?)\*/"))
+
+
+def _split(params: str, lang: str) -> list[str]:
+    """The parts of a parameter list between its outermost commas, without comments."""
+    if "#" in params or "/" in params:
+        params = _REMARK[lang].sub(lambda m: " " if m.group()[0] in "#/" else m.group(), params)
     if not params.strip():
         return []
     if not re.search(r"[(\[{<\"']", params):
@@ -131,7 +136,7 @@ def pairs(src: str, lang: str, comments: list[tuple[int, int]]) -> list[tuple[st
         seen = start
         a, b = run.found.get("parameters", (0, 0))
         returns = run.found.get("returns")
-        names = [n for p in _split(src[a:b]) if (n := _parameter(p, lang))]
+        names = [n for p in _split(src[a:b], lang) if (n := _parameter(p, lang))]
         out.append((src[start:to], line, names, src[slice(*returns)].strip() if returns else None, doc))
 
     if lang == "python":
