@@ -5,7 +5,8 @@ for each of five labels from its own text and from how many of its declarations
 files repeat; a directory has some from its name.  One sweep up and one down the tree pass
 log messages between children and parents; as the graph is a tree, the beliefs are then exact.
 A directory only ever sends sums of its children's messages, so a directory that holds a
-third of all files costs partial sums and no gathering.
+third of all files costs partial sums and no gathering; on their way down, beliefs of the few
+largest directories are broadcast, as are the few declarations that most files repeat.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 
 from loam.llm.lexers import EXTENSIONS, scan
 from loam.llm.syntax import latest
-from loam.sources.tables import materialize
+from loam.sources.tables import materialize, skew_join
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 REASONS = ("Source code file", "Generated file", "Minified", "Vendored copy", "Data file")
 
+DISTINCT = 40  # characters of a declaration that says whose it is
+
 #: A label of a directory (row) and of a file in it (column); of a directory and of one in it.
 FILE_IN = ((0.80, 0.06, 0.05, 0.04, 0.05), (0.12, 0.76, 0.04, 0.04, 0.04), (0.12, 0.04, 0.76, 0.04, 0.04), (0.02, 0.02, 0.02, 0.92, 0.02), (0.12, 0.04, 0.04, 0.04, 0.76))
 DIR_IN = tuple(tuple(0.72 if a == b else 0.07 for b in range(5)) for a in range(5))
@@ -42,11 +45,12 @@ DIRECTORY_NAMES = (
 _GENERATED_HEAD = re.compile(
     r"^[\s/#*<!\"'-]*(?:code generated by|this (?:file|code|class) (?:was|is|has been) (?:auto(?:matically)?[- ]?)?generated|auto-?generated file|file auto-?generated|"
     r"<auto-?generated>|@generated\b|automatically generated|automatisch (?:erzeugt|generiert)|fichier (?:produit|généré)|généré automatiquement|generado automáticamente|"
+    r"autogenerated (?:by|from)\b|this (?:file|module|class|code) (?:was|is|has been) (?:re)?(?:built|generated|produced) (?:by|from|with|automatically)\b|do not (?:edit|modify|change)\b.{0,60}\b(?:re)?(?:generated|built|produced|overwritten)\b|"
     r"archivo generado|сгенерировано|автоматически создан|自動生成|produced by the [\w.-]+ (?:compiler|generator)|generated (?:on|by|from|with)\b)",
     re.I | re.M,
 )
 #: What is written over a copy of a library.  Fixed values.
-_VENDORED_HEAD = re.compile(r"@license\s+[\w@/.-]+@\d|^\W*upstream:\s*\w|\b[\w-]+ v?\d+\.\d+[\w.]* -- https?://|(?:taken|copied) (?:unchanged |verbatim )?from [\w-]+ v?\d", re.I | re.M)
+_VENDORED_HEAD = re.compile(r"@license\s+[\w@/.-]+@\d|^\W*upstream:\s*\w|\b[\w-]+ v?\d+\.\d+[\w.]* -- https?://|^\W*[@A-Za-z][\w./@-]* v?\d+\.\d+[\w.]*\b.{0,60}(?:\(c\)|©|\blicen[cs]e)|(?:taken|copied) (?:unchanged |verbatim )?from [\w-]+ v?\d", re.I | re.M)
 _NUMBERED = re.compile(r"(?<=[A-Za-z_])(\d{3,4})(?!\d)")
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _DECLARATION = re.compile(
@@ -107,7 +111,7 @@ def evidence(path: str | None, content: str | None) -> tuple[list[float], list[s
     if _VENDORED_HEAD.search(said):
         weight[3] += 5.0
     lines = {x.strip() for x in _DECLARATION.findall(content)}
-    return weight, [x for x in lines if 40 <= len(x) < 400]
+    return weight, [x for x in lines if len(x) >= DISTINCT]
 
 
 def file_evidence(files: DataFrame) -> DataFrame:
@@ -130,8 +134,8 @@ def file_evidence(files: DataFrame) -> DataFrame:
     own = chosen.mapInPandas(weigh, "path string, rel_path string, namespace string, mtime timestamp_ntz, content_hash bigint, known boolean, w array<double>, marks array<bigint>")
     one = materialize(latest(own, ["namespace", "rel_path", "known", "w", "marks"]))
     each = one.select("path", F.explode("marks").alias("mark"))
-    repeated = each.groupBy("mark").agg(F.count("*").alias("files")).where(F.col("files") > 1)
-    shared = each.join(repeated, "mark").groupBy("path").agg(F.count("*").alias("shared"), F.sum(F.least(F.log2("files"), F.lit(4.0))).alias("strength"))
+    repeated = materialize(each.groupBy("mark").agg(F.count("*").alias("files")).where(F.col("files") > 1))
+    shared = skew_join(each, repeated, "mark", "files").groupBy("path").agg(F.count("*").alias("shared"), F.sum(F.least(F.log2("files"), F.lit(4.0))).alias("strength"))
     n, s, strength = F.size("marks"), F.coalesce("shared", F.lit(0)), F.coalesce("strength", F.lit(0.0))
     copy = F.when((strength >= 3) & (s >= 0.6 * n), F.lit(6.0) + F.least(F.lit(3.0), strength / 2)).otherwise(0.0)
     folder = F.concat(F.coalesce("namespace", F.lit("")), F.lit(":/"), F.regexp_replace(F.coalesce("rel_path", "path"), r"/?[^/]*$", ""))
@@ -160,12 +164,12 @@ def beliefs(weighed: DataFrame) -> DataFrame:
     """path, known, label and margin (log odds against the second label) from file evidence."""
     e = [F.col(f"e{i}") for i in range(5)]
     sent = weighed.select("path", "known", "folder", *e, *_columns("m", _passed(FILE_IN, e)))
-    sums = sent.groupBy("folder").agg(*[F.sum(f"m{i}").alias(f"s{i}") for i in range(5)])
+    sums = sent.groupBy("folder").agg(F.count("*").alias("files"), *[F.sum(f"m{i}").alias(f"s{i}") for i in range(5)])
     segments = F.split("folder", "/")
     chain = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, 1, k), "/"))
     every = sums.select(F.explode(chain).alias("folder")).distinct()
     nodes = every.join(sums, "folder", "left").select(
-        "folder", F.size(segments).alias("depth"), F.regexp_replace("folder", r"/[^/]*$", "").alias("parent"), *[(F.coalesce(f"s{i}", F.lit(0.0)) + _name_weight(i)).alias(f"s{i}") for i in range(5)]
+        "folder", F.coalesce("files", F.lit(0)).alias("files"), F.size(segments).alias("depth"), F.regexp_replace("folder", r"/[^/]*$", "").alias("parent"), *[(F.coalesce(f"s{i}", F.lit(0.0)) + _name_weight(i)).alias(f"s{i}") for i in range(5)]
     )
     nodes = materialize(nodes)
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
@@ -197,7 +201,8 @@ def beliefs(weighed: DataFrame) -> DataFrame:
         folders = folders.unionByName(b)
     heard = _passed(_transposed(FILE_IN), [F.col(f"b{i}") - F.col(f"m{i}") for i in range(5)])
     scored = F.array_sort(F.array(*[F.struct((-(e[i] + heard[i])).alias("s"), F.lit(i).alias("i")) for i in range(5)]))
-    done = sent.join(folders, "folder").select("path", "known", scored.alias("x"))
+    holding = materialize(folders.join(nodes.where(F.col("files") > 0).select("folder", "files"), "folder"))
+    done = skew_join(sent, holding, "folder", "files").select("path", "known", scored.alias("x"))
     return done.select("path", "known", F.element_at(F.array(*map(F.lit, LABELS)), F.col("x")[0]["i"] + 1).alias("label"), (F.col("x")[1]["s"] - F.col("x")[0]["s"]).alias("margin"))
 
 
