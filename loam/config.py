@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 
@@ -34,6 +35,22 @@ class Config:
         made = {k: replace(getattr(self, k), **v) if isinstance(v, dict) else v for k, v in parts.items()}
         return replace(self, **made)
 
+    @classmethod
+    def from_environment(cls, values: dict[str, str]) -> Config:
+        """The defaults with what the environment's variables set; an empty value sets nothing."""
+        def chosen(part, names: dict[str, tuple[str, Callable]]):
+            return replace(part, **{field_: kind(values[name]) for name, (field_, kind) in names.items() if values.get(name)})
+
+        truth = lambda x: x.strip().lower() in ("1", "true", "yes")
+        search = chosen(Search(), {"LOAM_VECTOR_WEIGHT": ("vector_weight", float), "LOAM_TEXT_WEIGHT": ("text_weight", float), "LOAM_LIMIT": ("limit", int), "LOAM_RERANK": ("rerank", truth)})
+        chunking = chosen(Chunking(), {"LOAM_MAX_CHUNK": ("max_chunk_size", int), "LOAM_EMBED_LIMIT": ("embed_limit", int)})
+        return chosen(cls(search, chunking), {"LOAM_API_KEY": ("api_key", str), "LOAM_DIM": ("dim", int)})
+
+    @property
+    def has_key(self) -> bool:
+        """Whether a key is set that isn't a stand-in."""
+        return bool(self.api_key) and self.api_key != "test"
+
     def problems(self) -> list[str]:
         out = []
         if self.search.limit < 0:

@@ -33,7 +33,9 @@ def extension(c: str | Column) -> Column:
 
 
 def relative(c: str | Column, base: str) -> Column:
-    return F.regexp_replace(F.replace(col(c), F.lit("\\"), F.lit("/")), "^" + base.rstrip("/") + "/", "")
+    """A path without the folder ``base`` in front of it; other paths stay as they are."""
+    path, head = F.replace(col(c), F.lit("\\"), F.lit("/")), base.replace("\\", "/").rstrip("/") + "/"
+    return F.when(path.startswith(head), F.substring(path, len(head) + 1, 1_000_000)).otherwise(path)
 
 
 def terms(c: str | Column) -> Column:

@@ -33,7 +33,6 @@ INDICATORS = (
     (rf"\A{X.WS}*[\[{{]", "Starts with JSON/data structure", 10_000),
 )
 CODE = r"function{w}*\(|class{w}+\w+|import{w}+|export{w}+|const{w}+\w+{w}*=|let{w}+\w+{w}*=|var{w}+\w+{w}*=".replace("{w}", X.WS)
-EXEMPT = "ContentFilterProvider source file (exempt from filtering)"
 LARGE = 500_000
 
 
@@ -96,7 +95,7 @@ def cascade(path: str | Column = "rel_path", content: str | Column = "content")
     """The struct (include, reason, confidence) of a file.  Null content is ``No content``."""
     p, c = X.col(path), X.col(content)
     name = F.lower(X.basename(p))
-    rules = F.when(c.isNull(), _result(False, "No content", 1.0)).when(X.basename(p).isin("ContentFilterProvider.ts", "ContentFilterProvider.js"), _result(True, EXEMPT, 1.0)).when(is_test(p), _result(False, "Test file", 0.9))
+    rules = F.when(c.isNull(), _result(False, "No content", 1.0)).when(is_test(p), _result(False, "Test file", 0.9))
     rules = rules.when(is_generated(p), _result(False, "Generated file", 0.95)).when(name.rlike(VALUABLE), _result(True, "Valuable configuration file", 0.7)).when(F.lower(p).rlike(CONFIG) | name.rlike(CONFIG), _result(False, "Configuration file", 0.85))
     rules = rules.when(F.length(c) > LARGE, _result(False, "File too large (likely data file)", 0.9))
     for pattern, reason, least in INDICATORS:
@@ -115,3 +114,8 @@ def classify(files: DataFrame) -> DataFrame:
 def keep(files: DataFrame) -> DataFrame:
     """The files to index; by size first, so that large contents aren't read on."""
     return classify(files.where(F.coalesce(F.col("size"), F.lit(0)) <= LARGE)).where("include").drop("include", "reason", "confidence")
+
+
+def pattern_counts() -> dict[str, int]:
+    """How many alternatives each list of patterns has."""
+    return {"test": TEST.count("|") + 1, "generated": GENERATED.count("|") + 1, "valuable": VALUABLE.count("|") + 1, "config": CONFIG.count("|") + 1, "quality": len(INDICATORS)}

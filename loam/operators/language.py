@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
@@ -72,11 +72,19 @@ def detect(path: str | Column, content: str | Column) -> Column:
     return F.struct(language.alias("language"), F.round(confidence, 6).alias("confidence"), file_type(path).alias("file_type"))
 
 
-def detected(files: DataFrame) -> DataFrame:
-    """path, language, confidence and file_type of every file."""
-    return files.select("path", detect("rel_path", "content").alias("d")).select("path", "d.*")
-
-
 def supported(language: Column) -> Column:
     """Whether symbols of a language can be extracted."""
     return language.isin("typescript", "javascript", "python")
+
+
+def known_languages() -> list[str]:
+    """All languages that can be told, in order."""
+    return sorted({k for k, _ in EXTENSIONS.values()})
+
+
+def primary_extension(language: Column) -> Column:
+    """The first extension of a language in the list above; null for others."""
+    first: dict[str, str] = {}
+    for e, (k, _) in EXTENSIONS.items():
+        first.setdefault(k, e)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.lower(language))

@@ -32,6 +32,13 @@ def lengths(docs: DataFrame, key: str = "id", content: str = "content") -> DataF
     return docs.select(key, F.coalesce(F.size(X.terms(content)), F.lit(0)).alias("len"))
 
 
+def indexed(docs: DataFrame, key: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths from one reading of the texts: the terms are written once."""
+    words = materialize(docs.select(key, X.terms(content).alias("_terms")))
+    index = words.select(key, F.explode("_terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return index, words.select(key, F.coalesce(F.size("_terms"), F.lit(0)).alias("len"))
+
+
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     return queries.select(key, F.explode(F.array_distinct(X.terms(text))).alias("term"))
 
@@ -142,11 +149,13 @@ def lexical_relevance(query: Column, text: Column) -> Column:
     return F.round(X.ratio(gain, F.size(asked)), 6)
 
 
-def rerank(hits: DataFrame, query: Column, text: Column, by: str = "query_id", key: str = "id", depth: int = RERANK_DEPTH) -> DataFrame:
-    """The hits in the order of their relevance, at most ``depth`` per query; the old score is kept."""
-    scored = hits.withColumns({"original_score": F.col("score"), "score": lexical_relevance(query, text)})
-    order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("rank"), F.col(key))
-    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth).withColumn("rank", F.col("_n") - 1).drop("_n")
+def rerank(hits: DataFrame, query: Column, text: Column, by: str = "query_id", key: str = "id", depth: int = RERANK_DEPTH, scorer=lexical_relevance) -> DataFrame:
+    """The first ``depth`` hits of each query in the order of their relevance, and after them all
+    others as they were; the old score is kept.  ``scorer`` makes the relevance of (query, text)."""
+    near = F.col("rank") < depth
+    scored = hits.withColumns({"original_score": F.col("score"), "score": F.when(near, scorer(query, text)).otherwise(F.col("score")), "_far": ~near})
+    order = Window.partitionBy(by).orderBy("_far", F.when(~F.col("_far"), F.col("score")).desc_nulls_last(), F.col("rank"), F.col(key))
+    return scored.withColumn("rank", F.row_number().over(order) - 1).drop("_far")
 
 
 def embed(content: str | Column, dim: int = 64) -> Column:
@@ -175,12 +184,14 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: list[tuple[int, str, li
     a query is (query_id, text, vector).  ``where`` filters the chunks before any ranking.
     """
     spark = docs.sparkSession
+    queries = [q for q in queries if q[1] and q[1].strip()]  # a blank query asks for nothing
     if where is not None:
         docs = docs.where(where)
         vectors = vectors.join(docs.select("id"), "id", "left_semi")
-    asked = spark.createDataFrame([(q[0], q[1]) for q in queries], "query_id bigint, query string").where(X.trim("query") != "")
+    asked = spark.createDataFrame([(q[0], q[1]) for q in queries], "query_id bigint, query string")
     depth = candidates(limit)
-    text_hits = top(bm25(postings(docs), materialize(lengths(docs)), asked), depth)
+    index, sizes = indexed(docs)
+    text_hits = top(bm25(index, sizes, asked), depth)
     vector_hits = top(vector_scores(vectors, [(q[0], q[2]) for q in queries if q[2]]), depth, ascending=True)
     fused = fuse(vector_hits, text_hits, vector_weight, text_weight)
     # few rows, at most twice the depth per query, that the anti-join reads twice

@@ -18,10 +18,21 @@ def latest(rows: DataFrame, key: str, version: list[str]) -> DataFrame:
     return best.select(key, "_row.*").select(*rows.columns)
 
 
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_t": F.coalesce(F.col("mtime").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")), "_h": F.coalesce(F.md5("content"), F.lit(""))})
+
+
 def files(rows: DataFrame) -> DataFrame:
     """The latest row of each path; of equal times the one with the larger content hash."""
-    dated = rows.withColumns({"_t": F.coalesce(F.col("mtime").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")), "_h": F.coalesce(F.md5("content"), F.lit(""))})
-    return latest(dated, "path", ["_t", "_h"]).drop("_t", "_h")
+    return latest(_dated(rows), "path", ["_t", "_h"]).drop("_t", "_h")
+
+
+def latest_of(rows: DataFrame, *derived: Column) -> DataFrame:
+    """path and what is derived from the latest row of each path.
+
+    It is derived before the latest is found, so that no content is shuffled; superseded states,
+    a small part of the rows, are looked at in vain."""
+    return latest(_dated(rows).select("path", "_t", "_h", *derived), "path", ["_t", "_h"]).drop("_t", "_h")
 
 
 def distinct_chunks(rows: DataFrame) -> DataFrame:
@@ -49,8 +60,9 @@ def replace_files(store: DataFrame, chunks: DataFrame, changed: DataFrame, path:
 
 
 def write_partition(rows: DataFrame, folder: str, namespace: str) -> None:
-    """Write a namespace's rows in place of what was there; other namespaces stay."""
-    rows.withColumn("namespace", F.lit(namespace)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(folder)
+    """Write a namespace's rows in place of what was there; other namespaces stay.  No rows
+    leave an empty partition, which is what they say."""
+    rows.write.mode("overwrite").parquet(f"{folder}/namespace={namespace}")
 
 
 def exists(store: DataFrame, namespace: str) -> bool:
@@ -66,6 +78,24 @@ def state(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.col("mtime").alias("last_modified"), F.length("content").cast("bigint").alias("size"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
 
 
+def with_chunk_ids(states: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The states of files with the ids of their chunks."""
+    own = chunks.groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list("id")).alias("chunk_ids"))
+    return states.join(own, "path", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+
+
+def touched(listed: DataFrame, known: DataFrame, since: Column | None = None) -> DataFrame:
+    """path and ``change`` by what a listing tells: added, deleted, or perhaps modified.
+
+    ``listed`` has path, mtime and bytes, and no contents are read.  A file whose time and bytes
+    are as remembered is as it was, and so is one not newer than ``since``."""
+    both = listed.select("path", "mtime", "bytes", F.lit(True).alias("here")).alias("n").join(known.select("path", "last_modified", "bytes", F.lit(True).alias("there")).alias("k"), "path", "full_outer")
+    same = F.col("n.mtime").eqNullSafe(F.col("k.last_modified")) & F.col("n.bytes").eqNullSafe(F.col("k.bytes"))
+    old = F.lit(False) if since is None else F.coalesce(F.col("n.mtime") <= since, F.lit(False))
+    kind = F.when(F.col("there").isNull(), "added").when(F.col("here").isNull(), "deleted").when(~same & ~old, "modified")
+    return both.select("path", kind.alias("change")).where(F.col("change").isNotNull())
+
+
 def changes(current: DataFrame, known: DataFrame, since: Column | None = None) -> DataFrame:
     """path and ``change`` (added, modified, deleted) between files and the remembered state.
 
@@ -96,3 +126,8 @@ def statistics(catalog: DataFrame) -> DataFrame:
         F.count("*").alias("codebases"), F.count_if(~F.coalesce("failed", F.lit(False))).alias("indexed"), F.coalesce(F.sum("total_chunks"), F.lit(0)).alias("chunks"),
         F.round(F.avg("total_chunks"), 6).alias("mean_chunks"), F.min("indexed_at").alias("first_indexed"), F.max("indexed_at").alias("last_indexed"),
     )
+
+
+def dangling(rows: DataFrame, key: str, parents: DataFrame, parent: str) -> DataFrame:
+    """The rows whose reference names no parent; null references name none and are no fault."""
+    return rows.where(F.col(key).isNotNull()).join(parents.select(F.col(parent).alias(key)).distinct(), key, "left_anti")

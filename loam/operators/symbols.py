@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.operators import chunks as C
 
-SYMBOL_TYPES = ["function", "class", "interface", "type", "variable", "method", "enum", "namespace", "module"]
+SYMBOL_TYPES = ["function", "class", "interface", "type", "variable", "constant", "method", "enum", "namespace", "module"]
 _S = X.WS
 
 
@@ -28,74 +27,12 @@ def scan(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"type": kind.otherwise(None), "name": name.otherwise(None)}).where(F.col("type").isNotNull()).drop("line")
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of Python files from their syntax trees; files that don't parse have none.
-
-    path, name, type, start_line, end_line, start_column, end_column, scope, parameters, decorators."""
-    rows = files.where(F.lower("rel_path").endswith(".py") & F.col("content").isNotNull()).select("path", "content")
-
-    def parse(batches):
-        import ast
-        import warnings
-
-        import pandas as pd
-
-        names = ["path", "name", "type", "start_line", "end_line", "start_column", "end_column", "scope", "parameters", "decorators"]
-        for b in batches:
-            out = []
-
-            def walk(path, node, inside):
-                for child in ast.iter_child_nodes(node):
-                    if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                        is_class = isinstance(child, ast.ClassDef)
-                        kind = "class" if is_class else "method" if "class" in inside else "function"
-                        given = [] if is_class else [a.arg for a in [*child.args.posonlyargs, *child.args.args, *child.args.kwonlyargs]]
-                        out.append((path, child.name, kind, child.lineno, child.end_lineno, child.col_offset, child.end_col_offset, "local" if inside else "global", given, [ast.unparse(d) for d in child.decorator_list]))
-                        walk(path, child, (*inside, "class" if is_class else "function"))
-                    elif isinstance(child, (ast.Assign, ast.AnnAssign)) and (not inside or inside[-1] == "class"):
-                        for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
-                            if isinstance(t, ast.Name) and not t.id.startswith("__"):
-                                out.append((path, t.id, "variable", child.lineno, child.end_lineno, child.col_offset, child.end_col_offset, "local" if inside else "global", [], []))
-                    elif not inside or isinstance(child, (ast.If, ast.Try, ast.With)):
-                        walk(path, child, inside)
-
-            for path, text in zip(b["path"], b["content"]):
-                try:
-                    with warnings.catch_warnings():
-                        warnings.simplefilter("ignore")
-                        walk(path, ast.parse(text), ())
-                except (SyntaxError, ValueError, RecursionError):
-                    pass
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(parse, "path string, name string, type string, start_line int, end_line int, start_column int, end_column int, scope string, parameters array<string>, decorators array<string>")
-
-
-def semantic_units(files: DataFrame) -> DataFrame:
-    """The constructs of brace languages as character ranges: path, type, start_idx, end_idx.
-
-    Found on lines: a construct begins at its head and ends where the brace depth is what it was
-    before.  Members of classes don't count by themselves."""
-    rows = C.line_rows(files, ["path"])
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("path").orderBy("line_no")
-    net = C.net_braces(F.col("line"))
-    at = rows.withColumn("depth", F.sum(net).over(w)).withColumn("before", F.col("depth") - net)
-    offs = F.sum(F.length("line") + 1).over(w)
-    placed = at.withColumns({"end_idx": offs - 1, "start_idx": offs - F.length("line") - 1})
-    head = F.regexp_extract(X.trim("line"), rf"^(?:export{_S}+)?(?:default{_S}+)?(?:async{_S}+)?(class|interface|enum|function|type|namespace){_S}+\w+", 1)
-    top = placed.where((F.col("before") == 0) | (F.col("depth") == 0)).withColumn("kind", F.when((F.col("before") == 0) & (head != ""), head))
-    closing = F.first(F.when(F.col("depth") == 0, F.col("end_idx")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return top.withColumn("close", closing).where(F.col("kind").isNotNull() & F.col("close").isNotNull() & (F.col("close") - F.col("start_idx") >= 30)).select("path", F.col("kind").alias("type"), "start_idx", F.col("close").alias("end_idx"))
-
-
-def in_chunks(chunks: DataFrame, symbols: DataFrame, top: int | None = None) -> DataFrame:
+def in_chunks(chunks: DataFrame, symbols: DataFrame, more: list[str] | None = None) -> DataFrame:
     """chunk id and symbol for every symbol that lies within a chunk of its file.
 
     An equi-join on the file with the range as a residual: neither side is broadcast by hand."""
     c, s = chunks.select("id", "file_path", F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end")), symbols.where(F.col("type").isin(SYMBOL_TYPES))
-    return c.join(s, (F.col("file_path") == F.col("path")) & (F.col("start_line") >= F.col("c_start")) & (F.col("end_line") <= F.col("c_end"))).select("id", "name", "type", "start_line", "end_line", "scope")
+    return c.join(s, (F.col("file_path") == F.col("path")) & (F.col("start_line") >= F.col("c_start")) & (F.col("end_line") <= F.col("c_end"))).select("id", "name", "type", "start_line", "end_line", "scope", *(more or []))
 
 
 def assign(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -126,3 +63,13 @@ def connections(chunks: DataFrame, most: int = 5) -> DataFrame:
 def needed(imports: Column, modules: Column, content: Column) -> Column:
     """The imports that a piece depends on, by its dependencies or by mention."""
     return F.filter(imports, lambda i: F.array_contains(modules, i["module"]) | content.contains(i["module"]))
+
+
+def in_sections(sections: Column, symbols: Column) -> Column:
+    """The sections of a text, each with the symbols that begin in it and its priority with them."""
+    from loam.operators.chunks import priority
+
+    def own(s: Column) -> Column:
+        return F.filter(symbols, lambda x: (x["start_line"] >= s["start_line"]) & (x["start_line"] <= s["end_line"]))
+
+    return F.transform(sections, lambda s: s.withField("symbols", F.transform(own(s), lambda x: x["name"])).withField("priority", priority(s["type"], F.size(own(s)))))

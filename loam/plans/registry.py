@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.operators import chunks as C
-from loam.operators import discovery, filters, language, search, store, symbols, usage
+from loam.operators import discovery, filters, language, search, store, symbols, units, usage
+from loam.plans import goldens
 from loam.sources.tables import materialize, table
 
 FLAGSHIP = "hybrid_search"
@@ -33,6 +34,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return store.files(table(spark, d, "source_files").select("path", "rel_path", "namespace", "language", "size", "mtime", "content"))
 
 
+def _latest(spark: SparkSession, d: str, *derived) -> DataFrame:
+    """path and what is derived from the latest state of each file; no content is shuffled."""
+    return store.latest_of(table(spark, d, "source_files").select("path", "rel_path", "language", "mtime", "content"), *derived)
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return store.distinct_chunks(table(spark, d, "chunks"))
 
@@ -139,9 +145,10 @@ kf AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY query_id, file_p
 ov AS (SELECT a.* FROM kf a WHERE NOT EXISTS (SELECT 1 FROM kf b WHERE b.query_id = a.query_id AND b.file_path = a.file_path AND b.rank < a.rank AND a.end_line > a.start_line
   AND least(a.end_line, b.end_line) - greatest(a.start_line, b.start_line) > 0.7 * (a.end_line - a.start_line)))"""
 HYBRID = [(i, t, dict(VECTOR_QUERIES)[i]) for i, t in TEXT_QUERIES]
+_VHITS_ASKED_SQL = _VHITS_SQL.replace("FROM v, vq)", "FROM v, vq WHERE query_id IN (SELECT query_id FROM q WHERE regexp_matches(query, '\\S')))")
 
 
-@query(f"WITH {_CHUNKS_SQL}, {_QUERIES_SQL}, {_BM25_SQL}, {_VECTORS_SQL}, {_VQ_SQL}, {_VHITS_SQL}, {_ARMS_SQL}, {_FUSE_SQL}, {_DEDUPE_SQL} SELECT query_id, position, id, file_path, start_line, end_line, raw, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position FROM ov) WHERE position <= 8")
+@query(f"WITH {_CHUNKS_SQL}, {_QUERIES_SQL}, {_BM25_SQL}, {_VECTORS_SQL}, {_VQ_SQL}, {_VHITS_ASKED_SQL}, {_ARMS_SQL}, {_FUSE_SQL}, {_DEDUPE_SQL} SELECT query_id, position, id, file_path, start_line, end_line, raw, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position FROM ov) WHERE position <= 8")
 def hybrid_search(spark, d):
     return search.hybrid(_docs(spark, d), _vectors(spark, d), HYBRID)
 
@@ -179,16 +186,18 @@ def rerank_lexical(spark, d):
     return search.rerank(full, F.col("query"), F.col("shown")).select("query_id", "id", "score", "rank")
 
 
-@query(f"""WITH {_CHUNKS_SQL}, t AS (SELECT id, unnest({_TERMS.format("CASE WHEN length(content) <= 20000 THEN content ELSE left(content, 20000) END")}) AS t FROM c WHERE length(content) <= 20000),
+def _cut_sql(text: str, limit: int) -> str:
+    """A text cut for an embedder: where its last line end or brace stands is told by what comes after it."""
+    head = f"left({text}, {limit})"
+    last = lambda c: f"CASE WHEN contains({head}, {c}) THEN {limit} - length(string_split({head}, {c})[-1]) ELSE 0 END"
+    k = f"greatest({last('chr(10)')}, {last(_q('}'))})"
+    return f"CASE WHEN length({text}) <= {limit} THEN {text} WHEN {k} - 1 > {limit} * 0.8 THEN left({text}, {k}) ELSE {head} || chr(10) || '// ... content truncated for embedding' END"
+
+
+@query(f"""WITH {_CHUNKS_SQL}, t AS (SELECT id, unnest({_TERMS.format(_cut_sql("content", 20000))}) AS t FROM c),
 b AS (SELECT id, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 64 AS b, sum(CASE WHEN CAST('0x' || substr(md5(t), 7, 1) AS INT) < 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM t GROUP BY ALL),
 n AS (SELECT id, sqrt(sum(s * s)) AS n FROM b GROUP BY id) SELECT b.id, CAST(b.b AS INT) AS dim, round(s / n, 6) AS value FROM b JOIN n USING (id) WHERE s <> 0""")
 def embed_hashed(spark, d):
-    rows = _chunks(spark, d).where(F.length("content") <= 20_000).select("id", F.posexplode(search.embed("content")).alias("dim", "value"))
-    return rows.where("value <> 0").select("id", "dim", F.round("value", 6).alias("value"))
-
-
-@query()
-def embed_hashed_all(spark, d):
     """Every chunk, those beyond the embedder's limit by their truncated text."""
     rows = _chunks(spark, d).select("id", F.posexplode(search.embed("content")).alias("dim", "value"))
     return rows.where("value <> 0").select("id", "dim", F.round("value", 6).alias("value"))
@@ -201,7 +210,7 @@ def embed_hashed_all(spark, d):
 AND p[-1] NOT IN ({', '.join(map(_q, discovery.IGNORED_FILES))}) AND NOT starts_with(p[-1], '.') AND NOT ends_with(p[-1], '.min.js') AND NOT ends_with(p[-1], '.map') AND NOT contains(p[-1], '.generated.') AND NOT contains(p[-1], '.gen.')
 AND lower(regexp_extract(p[-1], '(\\.[^.]*)$', 1)) IN ({', '.join(map(_q, discovery.extensions(['typescript', 'javascript', 'python'])))})""")
 def discover_files(spark, d):
-    return discovery.discover(_files(spark, d), ["typescript", "javascript", "python"]).select("path")
+    return _latest(spark, d, discovery.included("rel_path", ["typescript", "javascript", "python"]).alias("kept")).where("kept").select("path")
 
 
 def _cascade_sql() -> str:
@@ -225,12 +234,12 @@ SELECT path, split_part(r, '|', 2) = '1' AS include, split_part(r, '|', 1) AS re
 
 @query(_cascade_sql())
 def filter_cascade(spark, d):
-    return filters.classify(_files(spark, d)).select("path", "include", "reason", F.col("confidence").cast("double").alias("confidence"))
+    return _latest(spark, d, filters.cascade().alias("r")).select("path", "r.include", "r.reason", F.col("r.confidence").cast("double").alias("confidence"))
 
 
 @query(f"WITH r AS ({_cascade_sql()}) SELECT reason, include, count(*) AS files FROM r GROUP BY ALL")
 def filter_reasons(spark, d):
-    return filters.classify(_files(spark, d)).groupBy("reason", "include").agg(F.count("*").alias("files"))
+    return _latest(spark, d, filters.cascade().alias("r")).groupBy(F.col("r.reason").alias("reason"), F.col("r.include").alias("include")).agg(F.count("*").alias("files"))
 
 
 @query(f"SELECT doc_id, round(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches({_sql_trim('x')}, '^(?://|#|/\\*|\\*|<!--)')))::DOUBLE / len(string_split(text, chr(10))), 6) AS comments, round(coalesce(len(regexp_extract_all(text, '{W}'))::DOUBLE / nullif(length(text), 0), 0), 6) AS blanks FROM documents WHERE text IS NOT NULL")
@@ -261,7 +270,7 @@ SELECT path, CASE WHEN m > 0 AND sure > ec THEN bl ELSE el END AS language, roun
 
 @query(_detect_sql())
 def detect_language(spark, d):
-    return language.detected(_files(spark, d))
+    return _latest(spark, d, language.detect("rel_path", "content").alias("d")).select("path", "d.*")
 
 
 # --- chunks ------------------------------------------------------------------------------
@@ -285,7 +294,7 @@ def line_windows_10(spark, d):
 
 @query(f"WITH {_FILES_SQL} SELECT path, left(string_split(string_split(path, '/')[-1], '.')[1] || '_' || substr(md5(path), 1, 8) || '_' || '1-' || len(string_split(content, chr(10))), 60) AS id FROM f WHERE content IS NOT NULL")
 def short_ids(spark, d):
-    return _files(spark, d).where("content is not null").select("path", X.short_id("path", F.concat(F.lit("1-"), F.size(X.lines("content")).cast("string"))).alias("id"))
+    return _latest(spark, d, F.size(X.lines("content")).alias("n")).where("n is not null").select("path", X.short_id("path", F.concat(F.lit("1-"), F.col("n").cast("string"))).alias("id"))
 
 
 _SECTION_CASE = f"""CASE WHEN regexp_matches(t, '^(?:import|export){W}+') THEN CASE WHEN starts_with(t, 'export') THEN 'export' ELSE 'import' END
@@ -319,11 +328,31 @@ def subchunk_quality(spark, d):
     return C.quality(subchunk_pack(spark, d))
 
 
-@query()
+_FIRST_LINE = f"regexp_matches(t, '^(?:export{W}+)?(?:class|interface|enum){W}+\\w+') OR regexp_matches(t, '^(?:export{W}+)?(?:async{W}+)?function{W}+\\w+') OR regexp_matches(t, '^(?:export{W}+)?(?:const|let|var){W}+\\w+{W}*=') OR regexp_matches(t, '^class{W}+\\w+{W}*(?:\\(.*\\))?:') OR regexp_matches(t, '^(?:async{W}+)?def{W}+\\w+{W}*\\(') OR regexp_matches(t, '^@\\w+')"
+
+
+def _adaptive_sql(size: int, overlap: int) -> str:
+    most = f"greatest(len(list_filter(starts, lambda x: x <= starts[a + 1] + {size})) - 1, a + 1)"
+    half = lambda marks: f"list_max(list_filter({marks}, lambda m: m > a AND m <= most AND starts[m + 1] >= starts[a + 1] + {size // 2}))"
+    end = f"CASE WHEN most >= n THEN n ELSE coalesce({half('begins')}, {half('closes')}, most) END"
+    after = f"least(b, greatest(a + 1, len(list_filter(starts, lambda x: x < starts[b + 1] - {overlap}))))"
+    placed = lambda rows: f"SELECT path, win, a, {end} AS b FROM (SELECT *, {most} AS most FROM ({rows}))"
+    return f"""WITH RECURSIVE {_FILES_SQL}, {_LINES_SQL}, t AS (SELECT path, line_no, length(line) + 1 AS w, {_sql_trim('line')} AS t FROM l), k AS (SELECT path, line_no, t, sum(w) OVER (PARTITION BY path ORDER BY line_no) AS upto, {_FIRST_LINE} AS begin_ FROM t),
+m AS MATERIALIZED (SELECT path, count(*) AS n, list_prepend(0, list(CAST(upto AS BIGINT) ORDER BY line_no)) AS starts, coalesce(list(line_no - 1 ORDER BY line_no) FILTER (begin_), []) AS begins, coalesce(list(line_no ORDER BY line_no) FILTER (t IN ('', '}}')), []) AS closes FROM k GROUP BY path),
+r AS ({placed('SELECT path, 0 AS win, 0 AS a, n, starts, begins, closes FROM m')} UNION ALL {placed(f'SELECT path, win + 1 AS win, {after} AS a, n, starts, begins, closes FROM r JOIN m USING (path) WHERE b < n')})
+SELECT path, CAST(win AS INT) AS "window", CAST(a + 1 AS INT) AS start_line, CAST(b AS INT) AS end_line, starts[a + 1] AS start_offset, starts[b + 1] AS end_offset FROM r JOIN m USING (path)"""
+
+
+@query(_adaptive_sql(6000, 500))
 def adaptive_windows(spark, d):
     return C.adaptive_windows(_files(spark, d), size=6000, overlap=500)
 
 
+@query(_windows_sql(f"WITH {_FILES_SQL}, src AS (SELECT * FROM f), ", "path", "content", 50).rsplit(" WHERE ", 1)[0])
+def line_windows_50_with_blanks(spark, d):
+    return C.windows(_files(spark, d), 50, keep_blank=True)
+
+
 _BOUNDARY_SQL = f"""b AS (SELECT path, CAST(line_no AS INT) AS line_no, {_sql_trim('line')} AS t FROM l)
 SELECT * FROM (SELECT path, line_no, CASE WHEN regexp_matches(t, '^(?:export{W}+)?(?:class|interface|enum){W}+\\w+') THEN regexp_extract(t, '^(?:export{W}+)?(class|interface|enum)', 1) WHEN regexp_matches(t, '^(?:export{W}+)?(?:async{W}+)?function{W}+\\w+') THEN 'function'
  WHEN regexp_matches(t, '^(?:export{W}+)?(?:const|let|var){W}+\\w+{W}*=') THEN 'variable' WHEN regexp_matches(t, '^class{W}+\\w+{W}*(?:\\(.*\\))?:') THEN 'class' WHEN regexp_matches(t, '^(?:async{W}+)?def{W}+\\w+{W}*\\(') THEN 'function' WHEN regexp_matches(t, '^@\\w+') THEN 'decorator' END AS type,
@@ -346,12 +375,12 @@ def imports_scan(spark, d):
 
 @query(f"WITH {_FILES_SQL}, {_LINES_SQL} SELECT path, CAST(line_no AS INT) AS line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\" FROM l")
 def running_offsets(spark, d):
-    return C.offsets(C.line_rows(_files(spark, d), ["path"])).drop("line")
+    return C.offsets(_files(spark, d)).drop("line")
 
 
 @query(f"WITH {_FILES_SQL}, {_LINES_SQL} SELECT path, CAST(line_no AS INT) AS line_no, CAST(sum(length(replace(line, '}}', '')) - length(replace(line, '{{', ''))) OVER (PARTITION BY path ORDER BY line_no) AS BIGINT) AS depth FROM l")
 def brace_depth(spark, d):
-    return C.depths(C.line_rows(_files(spark, d), ["path"])).drop("line")
+    return C.depths(_files(spark, d))
 
 
 @query(f"WITH {_CHUNKS_SQL} SELECT id, CASE WHEN n < 20 AND b < 3 THEN 'low' WHEN n < 100 AND b < 10 THEN 'medium' ELSE 'high' END AS complexity FROM (SELECT id, len(string_split(content, chr(10))) AS n, length(content) - length(replace(content, '{{', '')) AS b FROM c WHERE content IS NOT NULL)")
@@ -359,20 +388,48 @@ def chunk_complexity(spark, d):
     return _chunks(spark, d).where("content is not null").select("id", C.complexity("content").alias("complexity"))
 
 
-@query()
-def unit_merge_fold(spark, d):
-    return C.merge_units(symbols.semantic_units(_files(spark, d)))
+#: Stored symbols as ranges: 40 characters a line.
+_UNITS_SQL = "u AS (SELECT path, s, e, t, row_number() OVER (PARTITION BY path ORDER BY s, e, t NULLS FIRST) AS n FROM (SELECT DISTINCT path, type AS t, CAST(start_line AS BIGINT) * 40 AS s, CAST(end_line AS BIGINT) * 40 AS e FROM symbols WHERE path IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL))"
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text WHEN k - 1 > 800 THEN left(text, k) ELSE left(text, 1000) || chr(10) || '// ... content truncated for embedding' END AS text FROM (SELECT doc_id, text, greatest(CASE WHEN contains(left(text, 1000), chr(10)) THEN 1001 - instr(reverse(left(text, 1000)), chr(10)) ELSE 0 END, CASE WHEN contains(left(text, 1000), '}') THEN 1001 - instr(reverse(left(text, 1000)), '}') ELSE 0 END) AS k FROM documents WHERE regexp_matches(text, '\\A[\\x00-\\x{2FF}\\x{400}-\\x{4FF}]*\\z'))")
-def truncate_embed_input(spark, d):
-    plain = F.col("text").rlike(r"\A[\x00-\x{2FF}\x{400}-\x{4FF}]*+\z")  # DuckDB reverses grapheme clusters and not characters
-    return table(spark, d, "documents").where(plain).select("doc_id", X.truncate("text", 1000).alias("text"))
+@query(f"""WITH RECURSIVE {_UNITS_SQL}, r AS (SELECT path, n, s, e, t, 0 AS unit FROM u WHERE n = 1 UNION ALL
+ SELECT path, n, CASE WHEN near THEN ps ELSE s END, CASE WHEN near THEN greatest(pe, e) ELSE e END, CASE WHEN near THEN 'mixed' ELSE t END, unit + CASE WHEN near THEN 0 ELSE 1 END
+ FROM (SELECT u.*, r.s AS ps, r.e AS pe, r.unit, u.s - r.e < 100 AND u.e - r.s <= 1500 AS near FROM r JOIN u ON u.path = r.path AND u.n = r.n + 1))
+SELECT path, unit, arg_max(s, n) AS start_idx, arg_max(e, n) AS end_idx, arg_max(t, n) AS type FROM r GROUP BY path, unit""")
+def unit_merge_fold(spark, d):
+    place = lambda c: (F.col(c).cast("bigint") * 40)
+    stored = table(spark, d, "symbols").where("path is not null and start_line is not null and end_line is not null")
+    return C.merge_units(stored.select("path", "type", place("start_line").alias("start_idx"), place("end_line").alias("end_idx")).distinct())
 
 
 @query()
-def truncate_embed_all(spark, d):
-    """Every document with a text: characters are code points, for which SQL has no reverse."""
+def semantic_chunks(spark, d):
+    return units.semantic_chunks(_files(spark, d))
+
+
+@query(
+    _SECTIONS_SQL + """, s AS (SELECT id, CAST(section AS INT) AS section, arg_min(type, n) AS type, min(n) AS a, max(n) AS b FROM r GROUP BY id, section), y AS (SELECT id, start_line AS first, unnest(symbols) AS x FROM c),
+k AS (SELECT s.id, s.section, count(x) AS n FROM s LEFT JOIN y ON y.id = s.id AND x.start_line - first + 1 BETWEEN a AND b GROUP BY ALL)
+SELECT id, section, CAST(n AS INT) AS symbols, least(10, CASE type WHEN 'import' THEN 10 WHEN 'export' THEN 9 WHEN 'interface' THEN 8 WHEN 'class' THEN 7 WHEN 'function' THEN 6 WHEN 'header' THEN 5 WHEN 'comment' THEN 3 ELSE 1 END + CASE WHEN n > 3 THEN 2 ELSE 0 END) AS priority FROM s JOIN k USING (id, section)""")
+def section_symbols(spark, d):
+    """The sections of chunks with how many of the chunk's symbols begin in them."""
+    own = F.transform(F.coalesce("symbols", F.array()), lambda x: x.withField("start_line", x["start_line"] - F.col("start_line") + 1))
+    rows = _chunks(spark, d).where("content is not null").select("id", F.explode(symbols.in_sections(C.section_array(F.col("content")), own)).alias("s"))
+    return rows.select("id", "s.section", F.size("s.symbols").alias("symbols"), "s.priority")
+
+
+@query(_SECTIONS_SQL + f""", s AS (SELECT id, CAST(section AS INT) AS section, string_agg(line, chr(10) ORDER BY n) AS content FROM r GROUP BY id, section), y AS (SELECT DISTINCT id, unnest(list_transform(imports, lambda x: x.module)) AS module FROM c)
+SELECT s.id, section, module FROM s JOIN y USING (id) WHERE module IS NOT NULL AND (contains(content, module) OR list_contains(list_concat(regexp_extract_all(content, 'from{W}+[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, '(\\w+){W}*\\(', 1)), module))""")
+def section_imports(spark, d):
+    """The imports of a chunk that each of its sections depends on."""
+    rows = _chunks(spark, d).where("content is not null").select("id", F.coalesce("imports", F.array()).alias("imports"), F.explode(C.section_array(F.col("content"))).alias("s"))
+    needed = symbols.needed(F.col("imports"), C.dependencies(F.col("s.content")), F.col("s.content"))
+    return rows.select("id", "s.section", F.explode(F.array_distinct(F.transform(needed, lambda i: i["module"]))).alias("module")).where("module is not null")
+
+
+@query(f"SELECT doc_id, {_cut_sql('text', 1000)} AS text FROM documents WHERE text IS NOT NULL")
+def truncate_embed_input(spark, d):
+    """Every document with a text: characters are code points on both sides."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.truncate("text", 1000).alias("text"))
 
 
@@ -414,7 +471,12 @@ def file_connections(spark, d):
 
 @query()
 def symbols_python(spark, d):
-    return symbols.python_symbols(_files(spark, d))
+    return units.symbols(_files(spark, d), ("python",))
+
+
+@query()
+def symbols_typescript(spark, d):
+    return units.symbols(_files(spark, d), ("typescript", "javascript"))
 
 
 def _scan_sql() -> str:
@@ -433,7 +495,7 @@ def symbols_scan(spark, d):
 
 @query(f"WITH {_FILES_SQL} SELECT path, sha256(coalesce(content, '')) AS content_hash, 'mcp_' || substr(md5(path || 'key'), 1, 16) AS namespace_id FROM f")
 def content_hashes(spark, d):
-    return _files(spark, d).select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), X.namespace_id("path", "key").alias("namespace_id"))
+    return _latest(spark, d, F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash")).select("path", "content_hash", X.namespace_id("path", "key").alias("namespace_id"))
 
 
 @query("SELECT id, left(hash, 4) || repeat('*', CAST(length(hash) - 8 AS INT)) || right(hash, 4) AS masked FROM api_key")
@@ -457,11 +519,69 @@ def cdc_changes(spark, d):
     return store.changes(now.withColumn("content", F.coalesce("content", F.lit(""))), store.state(old.withColumn("content", F.coalesce("content", F.lit("")))))
 
 
-@query(f"WITH {_CHUNKS_SQL} SELECT id, md5(coalesce(content, '')) AS h FROM c")
+_STORED_SQL = f"{_CHUNKS_SQL}, st AS (SELECT id, md5(coalesce(content, '')) AS h FROM c WHERE language IS NOT NULL), nw AS (SELECT id, max(md5(coalesce(relative_path, ''))) AS h FROM vectors WHERE id IS NOT NULL GROUP BY id)"
+
+
+def _stored(spark, d):
+    """A store of the chunks in a known language, and the vectors' rows to bring into it."""
+    now = _chunks(spark, d).where("language is not null").select("id", F.md5(F.coalesce("content", F.lit(""))).alias("h"))
+    return now, store.latest(table(spark, d, "vectors").select("id", F.md5(F.coalesce("relative_path", F.lit(""))).alias("h")), "id", ["h"])
+
+
+@query(f"WITH {_STORED_SQL} SELECT id, coalesce(nw.h, st.h) AS h FROM st FULL JOIN nw USING (id)")
 def upsert_latest(spark, d):
-    rows = table(spark, d, "chunks").select("id", F.md5(F.coalesce("content", F.lit(""))).alias("h"))
-    one = store.latest(rows, "id", ["h"])
-    return store.upsert(one.limit(0), one)
+    """Stored rows replaced where their id comes again, new ids inserted, others kept."""
+    return store.upsert(*_stored(spark, d))
+
+
+@query(f"WITH {_STORED_SQL} SELECT id, coalesce(st.h, nw.h) AS h FROM st FULL JOIN nw USING (id)")
+def insert_missing(spark, d):
+    return store.insert_missing(*_stored(spark, d), "id")
+
+
+@query(f"WITH {_FILES_SQL}, {_CHUNKS_SQL}, i AS (SELECT file_path AS path, string_agg(id, ',' ORDER BY id) AS ids FROM c WHERE file_path IS NOT NULL GROUP BY file_path) SELECT path, CAST(length(content) AS BIGINT) AS size, sha256(coalesce(content, '')) AS content_hash, coalesce(ids, '') AS chunk_ids FROM f LEFT JOIN i USING (path)")
+def file_state(spark, d):
+    """What is remembered of each file, with the ids of its chunks."""
+    states = _latest(spark, d, F.col("mtime").alias("last_modified"), F.length("content").cast("bigint").alias("size"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
+    return store.with_chunk_ids(states, _chunks(spark, d).where("file_path is not null")).select("path", "size", "content_hash", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query(f"WITH {_FILES_SQL} SELECT path, strlen(content) AS bytes, CAST(epoch_us(mtime) AS BIGINT) AS mtime, coalesce(mtime > (SELECT min(mtime) + INTERVAL 400 DAY FROM source_files), true) AS recent, CASE WHEN starts_with(path, '/srv/checkouts/') THEN substr(path, 16) ELSE path END AS rel FROM f")
+def file_stats(spark, d):
+    """Size, time, relative path, and whether a file is newer than a day some time after the first."""
+    since = table(spark, d, "source_files").agg(F.min("mtime") + F.expr("interval 400 days")).scalar()
+    rows = _latest(spark, d, F.octet_length("content").cast("bigint").alias("bytes"), F.col("mtime"))
+    return rows.select("path", "bytes", F.unix_micros(F.col("mtime").cast("timestamp")).alias("mtime"), discovery.modified_since(F.col("mtime"), since).alias("recent"), X.relative("path", "/srv/checkouts").alias("rel"))
+
+
+@query(f"""WITH {_FILES_SQL}, o AS (SELECT path, arg_min(mtime, coalesce(mtime, TIMESTAMP '0001-01-01')) AS mtime, arg_min(coalesce(strlen(content), 0), coalesce(mtime, TIMESTAMP '0001-01-01')) AS bytes FROM source_files WHERE path IS NOT NULL AND language IS NOT NULL AND mtime IS NOT NULL GROUP BY path),
+n AS (SELECT path, mtime, coalesce(strlen(content), 0) AS bytes FROM f WHERE namespace IS DISTINCT FROM (SELECT min(name) FROM namespace_owner))
+SELECT path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM n FULL JOIN o USING (path) WHERE o.path IS NULL OR n.path IS NULL OR o.mtime IS DISTINCT FROM n.mtime OR o.bytes <> n.bytes""".replace("CASE WHEN o.path IS NULL", "CASE WHEN o.bytes IS NULL").replace("WHEN n.path IS NULL THEN", "WHEN n.bytes IS NULL THEN").replace("WHERE o.path IS NULL OR n.path IS NULL", "WHERE o.bytes IS NULL OR n.bytes IS NULL"))
+def touched_files(spark, d):
+    """What a listing tells of the files against their oldest states, without their contents."""
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes")
+    gone = table(spark, d, "namespace_owner").agg(F.min("name")).scalar()
+    rows = table(spark, d, "source_files").select("path", "rel_path", "namespace", "language", "mtime", "content")
+    now = store.latest_of(rows, "mtime", size, "namespace").where(~F.col("namespace").eqNullSafe(gone)).drop("namespace")
+    first = rows.where("path is not null and language is not null and mtime is not null").groupBy("path").agg(F.min_by(F.struct(F.col("mtime").alias("last_modified"), size), "mtime").alias("r"))
+    return store.touched(now, first.select("path", "r.*"))
+
+
+@query("SELECT id FROM (SELECT DISTINCT id, file_path FROM chunks WHERE file_path = (SELECT min(file_path) FROM chunks)) WHERE id IS NOT NULL ORDER BY id LIMIT 1000")
+def chunk_ids_of_file(spark, d):
+    rows = _chunks(spark, d)
+    return store.ids_of_file(rows, table(spark, d, "chunks").agg(F.min("file_path")).first()[0])
+
+
+@query("SELECT DISTINCT id, api_key_id FROM api_event WHERE api_key_id IS NOT NULL AND api_key_id NOT IN (SELECT id FROM api_key)")
+def dangling_keys(spark, d):
+    """Events whose key isn't known."""
+    return store.dangling(_events(spark, d).select("id", "api_key_id").distinct(), "api_key_id", table(spark, d, "api_key"), "id")
+
+
+@query("SELECT DISTINCT language, language IN ('typescript', 'javascript', 'python') AS supported, CASE lower(language) WHEN 'typescript' THEN '.ts' WHEN 'javascript' THEN '.js' WHEN 'python' THEN '.py' WHEN 'java' THEN '.java' WHEN 'go' THEN '.go' END AS extension FROM source_files")
+def languages_present(spark, d):
+    return table(spark, d, "source_files").select("language", language.supported(F.col("language")).alias("supported"), language.primary_extension(F.col("language")).alias("extension")).distinct()
 
 
 @query("SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM vectors WHERE id IS NOT NULL)")
@@ -551,17 +671,48 @@ def rate_limit_fixed_window(spark, d):
     return usage.fixed_windows(table(spark, d, "events"), ["user_id", "event_type"], 2, 86_400, "ts", "event_id").select("event_id", "allowed", "used", "remaining")
 
 
-@query(f"WITH {_EVENTS_SQL}, n AS (SELECT api_key_id, type, count(*) AS used FROM ev GROUP BY ALL) SELECT api_key_id, type, used, greatest(0, CASE WHEN type IN ('TURBOPUFFER_QUERY', 'TURBOPUFFER_NAMESPACE_QUERY', 'TURBOPUFFER_HYBRID') THEN 200 ELSE 10000 END - used) AS remaining FROM n")
+_LIMIT_SQL = "CASE WHEN type IN ('TURBOPUFFER_QUERY', 'TURBOPUFFER_NAMESPACE_QUERY', 'TURBOPUFFER_HYBRID') THEN 3 ELSE 5 END"
+
+
+@query(f"""WITH RECURSIVE {_EVENTS_SQL}, now_ AS (SELECT epoch_us(max(created_at)) AS now FROM api_event), e AS (SELECT api_key_id, type, epoch_us(created_at) AS t, {_LIMIT_SQL} AS lim, row_number() OVER (PARTITION BY api_key_id, type ORDER BY created_at, id) AS n FROM ev WHERE created_at IS NOT NULL),
+r AS (SELECT api_key_id, type, n, lim, t AS opened, 1 AS used FROM e WHERE n = 1 UNION ALL SELECT e.api_key_id, e.type, e.n, e.lim, CASE WHEN e.t >= r.opened + 86400000000 THEN e.t ELSE r.opened END, CASE WHEN e.t >= r.opened + 86400000000 THEN 1 ELSE least(r.used + 1, e.lim) END
+ FROM r JOIN e ON e.api_key_id IS NOT DISTINCT FROM r.api_key_id AND e.type IS NOT DISTINCT FROM r.type AND e.n = r.n + 1),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY api_key_id, type ORDER BY n DESC) = 1), o AS (SELECT *, now < opened + 86400000000 AS open FROM l, now_)
+SELECT api_key_id, type, lim AS "limit", CASE WHEN open THEN used ELSE 0 END AS used, lim - CASE WHEN open THEN used ELSE 0 END AS remaining, CASE WHEN open THEN opened + 86400000000 END AS resets_at,
+CASE WHEN open AND used >= lim THEN CAST(greatest(1, ceil((opened + 86400000000 - now) / 1000000)) AS BIGINT) END AS retry_after FROM o""")
 def rate_limit_status(spark, d):
-    used = _events(spark, d).groupBy("api_key_id", "type").agg(F.count("*").alias("used"))
-    return used.select("api_key_id", "type", "used", F.greatest(F.lit(0), usage.limit_of(F.col("type")) - F.col("used")).alias("remaining"))
+    """The open windows of every key and type at the time of the last event, a day long, with small limits."""
+    rows = table(spark, d, "api_event")
+    now = rows.agg(F.unix_micros(F.max("created_at").cast("timestamp"))).scalar()
+    most = F.when(F.col("type").isin(*usage.SEARCHES), 3).otherwise(5)
+    return usage.limit_status(_events(spark, d), ["api_key_id", "type"], most, 86_400, now)
+
+
+@query("SELECT k.id AS api_key_id, t.type, CASE WHEN t.type IN ('TURBOPUFFER_QUERY', 'TURBOPUFFER_NAMESPACE_QUERY', 'TURBOPUFFER_HYBRID') THEN 200 ELSE 10000 END AS \"limit\", 86400 AS window_seconds FROM api_key k, (VALUES " + ", ".join(f"('{t}')" for t in usage.EVENT_TYPES) + ") t(type)")
+def key_limits(spark, d):
+    return usage.default_limits(table(spark, d, "api_key"), list(usage.EVENT_TYPES))
+
 
+@query(f"WITH {_EVENTS_SQL} SELECT DISTINCT duration_ms, CASE WHEN duration_ms < 1000 THEN duration_ms || 'ms' WHEN duration_ms < 60000 THEN (duration_ms // 1000) || 's' ELSE (duration_ms // 60000) || 'm ' || (duration_ms // 1000 % 60) || 's' END AS words FROM ev WHERE duration_ms IS NOT NULL")
+def durations_in_words(spark, d):
+    return _events(spark, d).where("duration_ms is not null").select("duration_ms", X.duration(F.col("duration_ms")).alias("words")).distinct()
 
-LOG = ["[2025-01-01T00:00:00Z] Starting indexing for: /srv/a", "[2025-01-01T00:00:05Z] ✅ Batch 1/3 completed successfully", "noise", "[2025-01-01T00:00:07Z] ✅ Batch 2/3 completed successfully", "[2025-01-01T00:00:09Z] ✅ Uploaded 27 chunks to namespace mcp_x", "[2025-01-01T00:00:10Z] Process completed with code: 0"]
-_LOG_SQL = "g(file, line_no, value) AS (VALUES " + ", ".join(f"('a', {i}, {_q(v)})" for i, v in enumerate(LOG)) + ")"
 
+_STAMP = "regexp_extract(value, '^\\[([^\\]]+)\\]', 1)"
+_DONE = "regexp_matches(value, 'Batch \\d+/\\d+ completed successfully')"
 
-@query(f"""WITH {_LOG_SQL} SELECT file, bool_or(contains(value, 'Process completed with code: 0')) AS completed, bool_or(contains(value, 'No chunks generated')) AS failed, arg_min(regexp_extract(value, '^\\[([^\\]]+)\\]', 1), line_no) AS started, arg_max(regexp_extract(value, '^\\[([^\\]]+)\\]', 1), line_no) AS ended,
-CAST(max(TRY_CAST(regexp_extract(value, 'Uploaded (\\d+) chunks', 1) AS BIGINT)) AS BIGINT) AS chunks, count(*) FILTER (regexp_matches(value, 'Batch \\d+/\\d+ completed')) AS batches_done, max(TRY_CAST(regexp_extract(value, 'Batch \\d+/(\\d+) completed', 1) AS BIGINT)) AS batches, 66.67::DOUBLE AS rate FROM g GROUP BY file""")
+
+@query(f"""WITH g AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+a AS (SELECT file, bool_or(contains(value, 'Process completed with code: 0')) AS completed, bool_or(regexp_matches(value, 'No chunks generated|all files filtered out|parsing failures|Failed indexing attempt registered')) AS failed,
+ arg_min({_STAMP}, line_no) FILTER ({_STAMP} <> '') AS started, arg_max({_STAMP}, line_no) FILTER ({_STAMP} <> '') AS ended, coalesce(max(TRY_CAST(regexp_extract(value, 'Uploaded (\\d+) chunks to namespace', 1) AS BIGINT)), 0) AS chunks,
+ count(*) FILTER ({_DONE}) AS batches_done, coalesce(max(TRY_CAST(regexp_extract(value, 'Batch \\d+/(\\d+) completed successfully', 1) AS BIGINT)), 0) AS batches FROM g GROUP BY file),
+b AS (SELECT * REPLACE (CASE WHEN batches = 0 AND chunks > 0 THEN CAST(ceil(chunks / 50) AS BIGINT) ELSE batches END AS batches) FROM a)
+SELECT file, completed, failed, started, ended, chunks, batches_done, batches, coalesce(round(100.0::DOUBLE * batches_done / nullif(batches, 0), 2), 0) AS rate FROM b""")
 def log_stats(spark, d):
-    return usage.log_statistics(spark.createDataFrame([("a", i, v) for i, v in enumerate(LOG)], "file string, line_no int, value string"))
+    """Every document read as an indexing log; few are."""
+    lines = C.line_rows(table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")), ["file"])
+    return usage.log_statistics(lines.withColumnRenamed("line", "value"))
+
+
+QUERIES.update(goldens.QUERIES)
+ORACLE.update(goldens.ORACLE)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.config import Config
 from loam.functions import text as X
-from loam.operators import chunks, discovery, filters, language, search, store, symbols, usage
+from loam.operators import chunks, discovery, filters, language, search, store, units, usage
 from loam.plans import registry
 from loam.sources import files as sources
 
@@ -61,7 +61,7 @@ def cut_by_hand(text, limit):
 def test_truncate_all_documents(spark, tmp_path):
     made = ["short 🙂", "🙂" * 990 + "\n" + "日本語" * 40, "e\u0301" * 495 + "}" + "‘x’ – •\u200b" * 9, "👩\u200d👩\u200d👧" * 300, "カ\u3099" * 400 + "\r\n" + "漢" * 500, "\n" + "字" * 1000, "字" * 1000, "", None]
     spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["text"] for r in registry.QUERIES["truncate_embed_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["text"] for r in registry.QUERIES["truncate_embed_input"](spark, str(tmp_path)).collect()}
     assert got == {i: cut_by_hand(t, 1000) for i, t in enumerate(made) if t is not None}
 
 
@@ -82,7 +82,7 @@ def test_embed_all_chunks(spark, tmp_path):
         norm = math.sqrt(sum(x * x for x in v))
         wanted |= {(f"c{i}", k): round(x / norm, 6) for k, x in enumerate(v) if x}
     assert sum(len(t or "") > 20_000 for t in made) == 4
-    got = {(r["id"], r["dim"]): r["value"] for r in registry.QUERIES["embed_hashed_all"](spark, str(tmp_path)).collect()}
+    got = {(r["id"], r["dim"]): r["value"] for r in registry.QUERIES["embed_hashed"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(wanted, abs=2e-6)
 
 
@@ -112,8 +112,8 @@ def test_sections(spark):
 
 
 def test_merge_units(spark):
-    units = [("a", 0, 400), ("a", 450, 900), ("b", 0, 400), ("b", 500, 900), ("c", 0, 1000), ("c", 100, 500)]
-    frame = spark.createDataFrame([(p, s, e, "class") for p, s, e in units], "path string, start_idx int, end_idx int, type string")
+    ranges = [("a", 0, 400), ("a", 450, 900), ("b", 0, 400), ("b", 500, 900), ("c", 0, 1000), ("c", 100, 500)]
+    frame = spark.createDataFrame([(p, s, e, "class") for p, s, e in ranges], "path string, start_idx int, end_idx int, type string")
     ends = lambda d: [(r["path"], r["start_idx"], r["end_idx"]) for r in d.orderBy("path", "unit").collect()]
     assert ends(chunks.merge_units(frame)) == [("a", 0, 900), ("b", 0, 400), ("b", 500, 900), ("c", 0, 1000)]
     assert ends(chunks.merge_units(frame, compat=True))[-1] == ("c", 0, 500)
@@ -132,6 +132,44 @@ def test_adaptive_windows_reach_the_end(spark):
     got = chunks.adaptive_windows(spark.createDataFrame([("p", text)], "path string, content string"), 3000, 400).orderBy("window").collect()
     assert got[0]["start_line"] == 1 and got[-1]["end_line"] == 400
     assert all(a["end_line"] >= b["start_line"] - 1 for a, b in zip(got, got[1:]))
+    assert all(r["end_offset"] - r["start_offset"] <= 3000 for r in got)
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 7, 64, 65, 1000):
+        values = [(i * 7) % 11 - 5 for i in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<int>").select(chunks.running(F.col("v")).alias("s")).first()["s"]
+        assert got == [sum(values[: i + 1]) for i in range(n)]
+
+
+LARGE = "class Big {\n" + "".join(f"  method{i}(a: number) {{\n    return a + {i};\n  }}\n" for i in range(60)) + "}\n"
+
+
+def test_units(spark):
+    rows = [("big", "big.ts", LARGE), ("ns", "ns.ts", "namespace N {\n  export function inside(a: string) { return a; }\n}\n"), ("deco", "d.py", "@wrap\ndef f():\n    def inner_function_here():\n        return 1\n    return inner_function_here\n"), ("blank", "b.ts", " \n"), ("null", "n.ts", None)]
+    frame = spark.createDataFrame(rows, "path string, rel_path string, content string")
+    made = units.semantic_chunks(frame).orderBy("path", "start_line", F.col("end_line").desc()).collect()
+    big = [r for r in made if r["path"] == "big"]
+    assert (big[0]["start_line"], big[0]["end_line"], big[0]["chunk_type"]) == (1, 182, "mixed")  # with the methods in its first 1500 characters
+    assert len(big) > 1 and all(r["size"] <= 1500 for r in big[1:]) and {r["chunk_type"] for r in big[1:]} == {"mixed"}
+    assert [(r["path"], r["chunk_type"]) for r in made if r["path"] != "big"] == [("deco", "mixed"), ("ns", "module")]
+    assert all(r["content"] == dict((p, c) for p, _, c in rows)[r["path"]][dict((p, c) for p, _, c in rows)[r["path"]].index(r["content"]) :][: len(r["content"])] for r in made)
+
+
+SCRIPTS = [
+    ("const r = /[{(]/g, s = `a ${`}`} {`;\nfunction f() { return 1 }\n", [("function", "f", 2, 2)]),
+    ("/* class No {} */\nconst x = 'class No {}';\nclass Yes { static of<T>(a: T): Yes { return new Yes() } field = { a: 1 }; set v(x) { } }\n", [("class", "Yes", 3, 3), ("method", "of", 3, 3), ("method", "v", 3, 3)]),
+    ("type Id = string |\n  number;\nenum C { A }\nexport default async function main({ a }: O): Promise<{ b: string }> {\n}\ndeclare function sig(a: string): void;\n", [("type", "Id", 1, 2), ("enum", "C", 3, 3), ("function", "main", 4, 5)]),
+    ("return function notOne() {};\nconst made = call({\n  a: 1,\n});\nclass Open {", []),
+]
+
+
+@pytest.mark.parametrize("text, want", SCRIPTS)
+def test_outline(text, want):
+    from loam.functions.outline import mask, outline
+
+    assert len(mask(text)) == len(text)
+    assert [(n[0], n[1], n[4], n[5]) for n in outline(text, "typescript") if n[0] not in ("constant", "variable")] == want
 
 
 def test_fusion(spark):
@@ -206,8 +244,8 @@ def test_upsert_and_latest(spark):
 def test_python_symbols(spark):
     text = "X = 1\n\n@dec\ndef f(a, b):\n    pass\n\nclass C:\n    y = 2\n    def m(self): pass\n"
     frame = spark.createDataFrame([("p", "a.py", text), ("q", "b.py", "def ("), ("r", "c.py", None)], "path string, rel_path string, content string")
-    got = {(r["name"], r["type"], r["start_line"], r["scope"]) for r in symbols.python_symbols(frame).collect()}
-    assert got == {("X", "variable", 1, "global"), ("f", "function", 4, "global"), ("C", "class", 7, "global"), ("y", "variable", 8, "local"), ("m", "method", 9, "local")}
+    got = {(r["name"], r["type"], r["start_line"], r["scope"]) for r in units.symbols(frame, ("python",)).collect()}
+    assert got == {("X", "variable", 1, "global"), ("f", "function", 4, "global"), ("C", "class", 7, "global"), ("y", "constant", 8, "local"), ("m", "method", 9, "local")}
 
 
 def test_discovery(spark):
@@ -237,19 +275,144 @@ def test_engine(spark, tree, tmp_path):
     from loam.plans.engine import Engine
 
     engine = Engine(spark, str(tmp_path / "index"))
+    assert engine.describe() == "No codebase is indexed." and not engine.search("anything").success
     assert engine.index_codebase(str(tree)) == 2
     for strategy in ("hybrid", "bm25", "vector"):
-        r = engine.search("stale lock", str(tree), limit=1, strategy=strategy)
-        assert r.success and r.results.first()["file_path"].endswith("lock.ts")
+        r = engine.search("stale lock", str(tree), limit=1, strategy=strategy, connected=True)
+        top = r.results.first()
+        assert r.success and top["file_path"].endswith("lock.ts") and top["similarity"] is not None
+        assert top["connections"]["imports"] == ["./x"] == top["connections"]["related_files"] and top["connections"]["exports"] == ["acquireLock"]
+        assert [s["name"] for s in top["symbols"]] == ["acquireLock"] and top["complexity"] == "low"
     assert not engine.search("  ", str(tree)).success and not engine.search("x", "/nowhere").success
     assert engine.search("parse header", str(tree), where=F.col("language") == "typescript").results.where("file_path like '%.py'").count() == 0
+    assert engine.search("parse header", file_types=["py"]).results.count() == 1  # the first codebase
+    assert engine.search("parse lock", str(tree), attributes=["file_path"]).results.columns == ["id", "score", "file_path", "rank"]
+    assert engine.search_symbols(["parse_header"], str(tree)).results.first()["file_path"].endswith("parse.py")
+    both = [r["id"] for r in engine.search("parse lock header stale", str(tree), rerank=False).results.collect()]
+    assert [r["id"] for r in engine.search("parse lock header stale", str(tree), rerank=False, offset=1).results.collect()] == both[1:]
     assert engine.refresh(str(tree)) == {}
     (tree / "src" / "parse.py").unlink()
     (tree / "src" / "new.go").write_text("package p\n\nfunc Fetch() int {\n\treturn 1\n}\n")
     assert engine.refresh(str(tree)) == {"added": 1, "deleted": 1}
     assert engine.search("fetch", str(tree), limit=1).results.first()["file_path"].endswith("new.go")
-    assert engine.get_indexing_status(str(tree)).first()["total_chunks"] == 2
-    assert engine.clear_index(str(tree)) and not engine.clear_index(str(tree))
+    assert engine.get_indexing_status(str(tree)).first()["total_chunks"] == 2 and engine.is_indexed(str(tree))
+    assert engine.update_chunk_count(str(tree)) == 2 and "2 chunks of 2 files" in engine.describe()
+    assert engine.chunk_ids(str(tree), str(tree / "src" / "new.go")).count() == 1
+    assert engine.clear_index() and not engine.clear_index(str(tree)) and engine.remove_orphans() == []
+
+
+def test_a_refresh_writes_only_what_changed(spark, tree, tmp_path):
+    from loam.plans.engine import Engine
+
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.index_codebase(str(tree))
+    old = (tree / "src" / "lock.ts").read_text()
+    (tree / "src" / "lock.ts").write_text(old.replace("stale", "fresh"))
+    assert engine.refresh(str(tree)) == {"modified": 1}
+    entry = engine._entry(str(tree))
+    batch = spark.read.parquet(f"{tmp_path}/index/chunks/namespace={entry['namespace']}/batch={entry['version']}")
+    assert [r["file_path"].rsplit("/", 1)[1] for r in batch.collect()] == ["lock.ts"]
+    shown = engine.search("stale fresh lock", str(tree), limit=9).results.collect()
+    assert len(shown) == 2 and not any("stale" in r["content"] for r in shown)
+    import os
+
+    os.utime(tree / "src" / "lock.ts", (1, 1))  # another time, the same content
+    assert engine.refresh(str(tree)) == {} and engine.refresh(str(tree)) == {}
+    (tree / "src" / "lock.ts").unlink()
+    (tree / "src" / "parse.py").unlink()
+    assert engine.refresh(str(tree)) == {"deleted": 2}  # the last files leave nothing behind
+    assert engine.search("lock", str(tree)).results.count() == 0
+
+
+def test_compaction_keeps_the_live_rows(spark, tree, tmp_path, monkeypatch):
+    from loam.plans import engine as E
+
+    for i in range(120):
+        (tree / "src" / f"m{i}.py").write_text(f"def number_{i}(value):\n    return value + {i}\n")
+    engine = E.Engine(spark, str(tmp_path / "index"))
+    assert engine.index_codebase(str(tree)) == 122
+    for i in range(70):
+        (tree / "src" / f"m{i}.py").write_text(f"def other_{i}(value):\n    return value - {i}\n\n")
+    assert engine.refresh(str(tree)) == {"modified": 70}
+    entry = engine._entry(str(tree))
+    assert spark.read.parquet(f"{tmp_path}/index/lengths/namespace={entry['namespace']}").count() == 122
+    assert engine.search("other_3", str(tree), strategy="bm25", limit=1).results.first()["file_path"].endswith("m3.py")
+    assert len(engine.search("value return", str(tree), limit=50).results.collect()) == 50
+
+
+def test_odd_roots_locks_and_failures(spark, tmp_path):
+    from loam.plans.engine import Engine, Locked
+
+    root = tmp_path / "c++ (old) [x]"
+    (root / "lib").mkdir(parents=True)
+    (root / "lib" / "a.ts").write_text("export function alpha(one: string) {\n  return one;\n}\n")
+    (root / "lib" / "skip.ts").write_text("export function beta(one: string) {\n  return one;\n}\n")
+    engine = Engine(spark, str(tmp_path / "index"), reranker=lambda query, text: F.lit(0.5))
+    assert [r["rel_path"] for r in sources.read_tree(spark, str(root), exclude=["skip*"]).collect()] == ["lib/a.ts"]
+    assert engine.index_codebase(str(root), exclude=["lib/skip.*"]) == 1
+    assert engine.search("alpha", str(root)).results.first()["score"] == 0.5
+    namespace = engine.namespace(str(root))
+    with engine._lock(namespace):
+        with pytest.raises(Locked):
+            engine.refresh(str(root))
+        assert engine.search("alpha", str(root), fresh=True).results.count() == 1  # a refresh that fails is no failure
+    (tmp_path / "index" / "locks").mkdir(exist_ok=True)
+    (tmp_path / "index" / "locks" / namespace).write_text("broken")  # taken over
+    assert engine.refresh(str(root), exclude=["lib/skip.*"]) == {} and engine.lock_state(str(root)) is None
+
+    def broken(files, limit):
+        raise RuntimeError("no chunks today")
+
+    with pytest.raises(RuntimeError):
+        Engine(spark, str(tmp_path / "index"), chunker=broken).index_codebase(str(root))
+    assert engine._entry(str(root))["failed"] and engine.search("alpha", str(root)).results.count() == 1
+
+
+def test_worker_and_logs(spark, tree, tmp_path):
+    from loam import worker
+
+    assert worker.run(spark, str(tmp_path / "index"), str(tree), "demo") == 0
+    path = sources.newest_log(spark, f"{tmp_path}/index/logs", "demo")
+    row = usage.log_statistics(sources.read_logs(spark, path)).first()
+    assert row["completed"] and row["chunks"] == 2 and row["started"] < row["ended"] and row["batches"] == 1
+
+
+def test_small_functions(spark, tmp_path, tree):
+    assert one(spark, X.duration(F.lit(61_500))) == "1m 1s" and one(spark, X.relative(F.lit("/a.b/c"), "/a.b")) == "c" and one(spark, X.relative(F.lit("/axb/c"), "/a.b")) == "/axb/c"
+    keyed = spark.range(1).select(X.hmac_sha256("secret")(F.lit("key")).alias("h")).first()["h"]
+    assert keyed == __import__("hmac").new(b"secret", b"key", "sha256").hexdigest()
+    assert one(spark, sources.masked(F.create_map(F.lit("X-Api-Key"), F.lit("abc"), F.lit("Host"), F.lit("h")))) == {"X-Api-Key": "***", "Host": "h"}
+    assert one(spark, sources.trimmed(F.lit("x" * 2005))).endswith("... (5 more)") and "python" in language.known_languages() and filters.pattern_counts()["quality"] == 8
+    c = Config.from_environment({"LOAM_LIMIT": "3", "LOAM_API_KEY": "test", "LOAM_RERANK": "no", "LOAM_DIM": ""})
+    assert c.search.limit == 3 and not c.search.rerank and not c.has_key and c.dim == 64
+    sources.append_rows(spark.range(2), str(tmp_path / "rows"))
+    sources.append_rows(spark.range(2), str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
+
+
+def test_limit_status(spark):
+    frame = spark.createDataFrame([(1, "k", 0), (2, "k", 10), (3, "k", 20), (4, "old", 0)], "id int, key string, s int").select("id", "key", F.timestamp_seconds("s").alias("created_at"))
+    got = {r["key"]: tuple(r)[1:] for r in usage.limit_status(frame, ["key"], 2, 60, F.lit(30_000_000)).collect()}
+    assert got == {"k": (2, 2, 0, 60_000_000, 30), "old": (2, 1, 1, 60_000_000, None)}
+    later = {r["key"]: tuple(r)[1:] for r in usage.limit_status(frame, ["key"], 2, 60, F.lit(60_000_000)).collect()}
+    assert later == {"k": (2, 0, 2, None, None), "old": (2, 0, 2, None, None)}
+
+
+def test_new_files_as_a_stream(spark, tree, tmp_path):
+    from loam.streaming.events import on_new_files
+
+    seen = []
+    q = on_new_files(sources.stream_tree(spark, str(tree)), str(tmp_path / "cp"), lambda rows, _: seen.extend(r["rel_path"] for r in rows.collect()))
+    q.awaitTermination(120)
+    assert sorted(seen) == ["src/lock.ts", "src/parse.py"]
+
+
+def test_hot_keys_join_by_a_bounded_broadcast(spark):
+    from loam.sources import tables
+
+    left = spark.range(30_000).select((F.when(F.col("id") < 10_000, 0).otherwise(F.col("id"))).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0")
+    assert tables.skew_join(left, right, "k", "n").count() == left.where("k % 2 = 0").count()
 
 
 def test_files_and_logs(spark, tree, tmp_path):
