@@ -153,23 +153,24 @@ class Engine:
         """The chunks of files: units, oversized ones packed from their sections, with the symbols
         that lie in them, the imports up to their ends, those of the exports that they define, and
         their vectors.  Files that the filter leaves out have none."""
-        kept = filters.keep(files).select("path", "rel_path", "content")
-        cut = self.chunker(kept, self.config.chunking.max_chunk_size)
+        # what is read more than once is written: the files that are kept, their chunks, their symbols
+        kept = store.materialize(filters.keep(files).select("path", "rel_path", "content", language.detect("rel_path", "content")["language"].alias("told")))
+        cut = store.materialize(self.chunker(kept.select("path", "rel_path", "content"), self.config.chunking.max_chunk_size))
         parts = C.sub_chunks(cut.select("id", "content"), self.config.chunking.max_chunk_size)
         placed = parts.join(cut.select("id", F.col("path").alias("file_path"), F.col("start_line").alias("base"), "chunk_type"), "id")
         chunks = placed.select(F.col("sub_id").alias("id"), "file_path", (F.col("base") + F.col("start_line") - 1).alias("start_line"), (F.col("base") + F.col("end_line") - 1).alias("end_line"), "chunk_type", "content")
-        read = units.outlined(kept)
+        read = store.materialize(units.outlined(kept).select("path", "language", "nodes", F.when(F.col("nodes").isNull(), F.col("content")).alias("content")))
         exact, scanned = units.symbols_of(read), symbols.scan(C.line_rows(read.where(F.col("nodes").isNull()), ["path"]))
         shape = ["path", "name", "type", "start_line", "end_line", "scope", "exported"]
         line = F.col("line_no").cast("int")
         rough = scanned.select("path", "name", "type", line.alias("start_line"), line.alias("end_line"), F.lit("global").alias("scope"), F.lit(False).alias("exported"))
-        found = exact.select(*shape).unionByName(rough.select(*shape))
+        found = store.materialize(exact.select(*shape).unionByName(rough.select(*shape)))
         within = symbols.in_chunks(chunks, found, ["exported"])
         entry = F.struct("start_line", "end_line", "name", "type", "scope")
         own = within.groupBy("id").agg(F.array_sort(F.collect_set(entry)).alias("symbols"), F.array_sort(F.collect_set(F.when(F.col("exported"), F.col("name")))).alias("exports"))
         brought = C.imports(C.line_rows(kept, ["path"])).where(F.col("module").isNotNull())
         seen = symbols.visible_imports(chunks, brought).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("line_no", "module"))).alias("imports"))
-        named = kept.select(F.col("path").alias("file_path"), F.col("rel_path").alias("relative_path"), language.detect("rel_path", "content")["language"].alias("language"))
+        named = kept.select(F.col("path").alias("file_path"), F.col("rel_path").alias("relative_path"), F.col("told").alias("language"))
         full = chunks.join(own, "id", "left").join(seen, "id", "left").join(named, "file_path")
         none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
         return full.select(

@@ -13,7 +13,7 @@ from loam.functions import text as X
 from loam.operators import chunks as C
 from loam.operators import discovery, filters, language, search, store, symbols, units, usage
 from loam.plans import goldens
-from loam.sources.tables import materialize, table
+from loam.sources.tables import materialize, spread, table
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 def _latest(spark: SparkSession, d: str, *derived) -> DataFrame:
     """path and what is derived from the latest state of each file; no content is shuffled."""
-    return store.latest_of(table(spark, d, "source_files").select("path", "rel_path", "language", "mtime", "content"), *derived)
+    return store.latest_of(spread(table(spark, d, "source_files").select("path", "rel_path", "language", "mtime", "content")), *derived)
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ bm AS (SELECT query_id, id, CAST(sum(CAST(round(ln(1 + (n - df + 0.5) / (df + 0.
 def bm25_batch_topk(spark, d):
     docs = _docs(spark, d)
     asked = spark.createDataFrame(TEXT_QUERIES, "query_id bigint, query string")
-    return search.top(search.bm25(search.postings(docs), materialize(search.lengths(docs)), asked), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return search.top(search.bm25(*search.indexed(docs), asked), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- vectors and fusion ------------------------------------------------------------------
@@ -136,7 +136,7 @@ th AS (SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY
 def rrf_fuse(spark, d):
     docs = _docs(spark, d)
     asked = spark.createDataFrame(TEXT_QUERIES, "query_id bigint, query string")
-    text = search.top(search.bm25(search.postings(docs), materialize(search.lengths(docs)), asked), 16)
+    text = search.top(search.bm25(*search.indexed(docs), asked), 16)
     return search.fuse(search.top(search.vector_scores(_vectors(spark, d), VECTOR_QUERIES), 16, ascending=True), text)
 
 
@@ -180,7 +180,7 @@ SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER
 def rerank_lexical(spark, d):
     chunks = _docs(spark, d)
     asked = spark.createDataFrame(TEXT_QUERIES, "query_id bigint, query string")
-    hits = search.top(search.bm25(search.postings(chunks), materialize(search.lengths(chunks)), asked), 16)
+    hits = search.top(search.bm25(*search.indexed(chunks), asked), 16)
     shown = search.rerank_text(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.transform("symbols", lambda s: s["name"]), F.col("content"))
     full = hits.join(chunks.select("id", shown.alias("shown")), "id").join(asked, "query_id")
     return search.rerank(full, F.col("query"), F.col("shown")).select("query_id", "id", "score", "rank")

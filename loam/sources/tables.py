@@ -17,6 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows whose files make fewer tasks than there are cores, dealt out to all cores; others as
+    they are.  A large table always makes more tasks, so nothing of one is moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Take the folder named in ``spark.checkpoint.dir``.  Only a local master may go without:
     it gets a temporary folder.  A cluster without a named folder is refused."""
