@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loam.llm import docpairs, mixing, neighbours, percentiles, provenance, residue, split, syntax, tokenize
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 
 def p1_percentiles(spark, d):
@@ -20,7 +20,7 @@ def p2_found(spark, d):
 
 
 def p2_pairs(spark, d):
-    return docpairs.documented_functions(table(spark, d, "source_files"))
+    return docpairs.documented_functions(spread(table(spark, d, "source_files")))
 
 
 def p3_found(spark, d):
@@ -40,15 +40,15 @@ def p5_found(spark, d):
 
 
 def p5_files(spark, d):
-    return provenance.classify(table(spark, d, "source_files"))
+    return provenance.classify(spread(table(spark, d, "source_files")))
 
 
 def p6_found(spark, d):
-    return syntax.check(table(spark, d, "source_files")).where("size(parse_errors) > 0").select("path")
+    return syntax.check(spread(table(spark, d, "source_files"))).where("size(parse_errors) > 0").select("path")
 
 
 def p6_rates(spark, d):
-    return syntax.rates(syntax.check(table(spark, d, "source_files")))
+    return syntax.rates(syntax.check(spread(table(spark, d, "source_files"))))
 
 
 def p7_ids(spark, d):
@@ -68,7 +68,7 @@ def p9_found(spark, d):
 
 
 def p9_residue(spark, d):
-    return residue.examine(table(spark, d, "documents"))
+    return residue.examine(spread(table(spark, d, "documents")))
 
 
 def p9_clean(spark, d):
