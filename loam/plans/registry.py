@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as X
 from loam.operators import chunks as C
 from loam.operators import discovery, filters, language, search, store, symbols, units, usage
-from loam.plans import goldens
+from loam.plans import goldens, values
 from loam.sources.tables import materialize, spread, table
 
 FLAGSHIP = "hybrid_search"
@@ -64,6 +64,11 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _any(column: str, patterns: list[str]) -> str:
+    """Whether one of some patterns matches, in SQL."""
+    return "(" + " OR ".join(f"regexp_matches({column}, {_q(p)})" for p in patterns) + ")"
+
+
 _TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
 
 # --- terms, postings, BM25 ---------------------------------------------------------------
@@ -206,20 +211,20 @@ def embed_hashed(spark, d):
 # --- discovery, filters, language --------------------------------------------------------
 
 
-@query(f"""WITH {_FILES_SQL}, s AS (SELECT path, string_split(rel_path, '/') AS p FROM f) SELECT path FROM s WHERE len(p) <= 21 AND len(list_filter(p[1:-2], lambda x: x IN ({', '.join(map(_q, discovery.IGNORED_DIRECTORIES))}) OR starts_with(x, '.'))) = 0
-AND p[-1] NOT IN ({', '.join(map(_q, discovery.IGNORED_FILES))}) AND NOT starts_with(p[-1], '.') AND NOT ends_with(p[-1], '.min.js') AND NOT ends_with(p[-1], '.map') AND NOT contains(p[-1], '.generated.') AND NOT contains(p[-1], '.gen.')
-AND lower(regexp_extract(p[-1], '(\\.[^.]*)$', 1)) IN ({', '.join(map(_q, discovery.extensions(['typescript', 'javascript', 'python'])))})""")
+@query(f"""WITH {_FILES_SQL}, s AS (SELECT path, string_split(rel_path, '/') AS p FROM f) SELECT path FROM s WHERE len(p) <= 21 AND len(list_filter(p[1:-2], lambda x: x IN ({', '.join(map(_q, values.IGNORED_DIRECTORIES))}) OR starts_with(x, '.'))) = 0
+AND p[-1] NOT IN ({', '.join(map(_q, values.IGNORED_FILES))}) AND NOT starts_with(p[-1], '.') AND NOT ends_with(p[-1], '.min.js') AND NOT ends_with(p[-1], '.map') AND NOT contains(p[-1], '.generated.') AND NOT contains(p[-1], '.gen.')
+AND lower(regexp_extract(p[-1], '(\\.[^.]*)$', 1)) IN ({', '.join(map(_q, values.SCRIPT_EXTENSIONS))})""")
 def discover_files(spark, d):
     return _latest(spark, d, discovery.included("rel_path", ["typescript", "javascript", "python"]).alias("kept")).where("kept").select("path")
 
 
 def _cascade_sql() -> str:
     tr = _sql_trim("x")
-    case = ["WHEN content IS NULL THEN 'No content|0|1.0'", f"WHEN regexp_matches(lp, {_q(filters.TEST)}) THEN 'Test file|0|0.9'", f"WHEN regexp_matches(lp, {_q(filters.GENERATED)}) THEN 'Generated file|0|0.95'"]
-    case += [f"WHEN regexp_matches(nm, {_q(filters.VALUABLE)}) THEN 'Valuable configuration file|1|0.7'", f"WHEN regexp_matches(lp, {_q(filters.CONFIG)}) OR regexp_matches(nm, {_q(filters.CONFIG)}) THEN 'Configuration file|0|0.85'", "WHEN length(content) > 500000 THEN 'File too large (likely data file)|0|0.9'"]
-    case += [f"WHEN length(content) >= {n} AND regexp_matches(content, {_q(p)}) THEN {_q(r + '|0|0.8')}" for p, r, n in filters.INDICATORS]
+    case = ["WHEN content IS NULL THEN 'No content|0|1.0'", f"WHEN {_any('lp', values.TEST)} THEN 'Test file|0|0.9'", f"WHEN {_any('lp', values.GENERATED)} THEN 'Generated file|0|0.95'"]
+    case += [f"WHEN {_any('nm', values.VALUABLE)} THEN 'Valuable configuration file|1|0.7'", f"WHEN {_any('lp', values.CONFIG)} OR {_any('nm', values.CONFIG)} THEN 'Configuration file|0|0.85'", "WHEN length(content) > 500000 THEN 'File too large (likely data file)|0|0.9'"]
+    case += [f"WHEN length(content) >= {n} AND regexp_matches(content, {_q(p)}) THEN {_q(r + '|0|0.8')}" for p, r, n in values.INDICATORS]
     case += ["WHEN com > 0.8 THEN 'Mostly comments (documentation file)|0|0.75'", "WHEN wsr > 0.6 THEN 'Mostly whitespace (formatting file)|0|0.75'", "WHEN rep THEN 'Contains repeated patterns (likely generated)|0|0.75'"]
-    case += [f"WHEN CASE WHEN (starts_with(tc, '{{') AND ends_with(tc, '}}')) OR (starts_with(tc, '[') AND ends_with(tc, ']')) THEN NOT regexp_matches(content, {_q(filters.CODE)}) AND length(content) > 5000 ELSE contains(content, ',') AND len(ls) > 50 AND com10 > 30 END THEN 'Appears to be data/configuration content|0|0.75'"]
+    case += [f"WHEN CASE WHEN (starts_with(tc, '{{') AND ends_with(tc, '}}')) OR (starts_with(tc, '[') AND ends_with(tc, ']')) THEN NOT {_any('content', values.CODE)} AND length(content) > 5000 ELSE contains(content, ',') AND len(ls) > 50 AND com10 > 30 END THEN 'Appears to be data/configuration content|0|0.75'"]
     case += ["WHEN bin > 0.1 THEN 'Binary content|0|1.0'"]
     return f"""WITH {_FILES_SQL}, {_LINES_SQL}, lt AS (SELECT path, {_sql_trim('line')} AS t FROM l), cnt AS (SELECT path, t, count(*) AS n FROM lt WHERE t <> '' GROUP BY ALL),
 mx AS (SELECT path, max(n) AS most, sum(n) AS total FROM cnt GROUP BY path),
@@ -254,17 +259,17 @@ def repeated_lines(spark, d):
 
 
 def _hints_sql() -> str:
-    per = {k: " + ".join(f"CASE WHEN regexp_matches(h, {_q(p)}) THEN {w} ELSE 0 END" for lang, p, w in language.HINTS if lang == k) for k in language.HINTED}
+    per = {k: " + ".join(f"CASE WHEN regexp_matches(h, {_q(p)}) THEN {w} ELSE 0 END" for lang, p, w in values.HINTS if lang == k) for k in values.HINTED}
     return "".join(f", round(({v})::DOUBLE, 6) AS s_{k}" for k, v in per.items())
 
 
 def _detect_sql() -> str:
-    best = "CASE " + " ".join(f"WHEN s_{k} = m THEN '{k}'" for k in language.HINTED) + " END"
-    ext = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in language.EXTENSIONS.items()) + " ELSE 'text' END"
-    conf = "CASE e " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in language.EXTENSIONS.items()) + " ELSE 0.1 END::DOUBLE"
-    kinds = " ".join(f"WHEN regexp_matches(nm, {_q(p)}) OR regexp_matches(lp, {_q(p)}) THEN '{k}'" for k, p in language.TYPES) + " " + " ".join(f"WHEN regexp_matches(lp, {_q(p)}) THEN '{k}'" for k, p in language.FOLDERS)
+    best = "CASE " + " ".join(f"WHEN s_{k} = m THEN '{k}'" for k in values.HINTED) + " END"
+    ext = "CASE e " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in values.LANGUAGE_OF.items()) + " ELSE 'text' END"
+    conf = "CASE e " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in values.LANGUAGE_OF.items()) + " ELSE 0.1 END::DOUBLE"
+    kinds = " ".join(f"WHEN {_any('nm', p)} OR {_any('lp', p)} THEN '{k}'" for k, p in values.TYPES) + " " + " ".join(f"WHEN {_any('lp', p)} THEN '{k}'" for k, p in values.FOLDERS)
     return f"""WITH {_FILES_SQL}, h AS (SELECT path, lower(rel_path) AS lp, lower(string_split(rel_path, '/')[-1]) AS nm, lower(regexp_extract(string_split(rel_path, '/')[-1], '^.+(\\.[^.]*)$', 1)) AS e, array_to_string(string_split(coalesce(content, ''), chr(10))[1:50], chr(10)) AS h FROM f),
-s AS (SELECT *{_hints_sql()} FROM h), b AS (SELECT *, greatest({', '.join('s_' + k for k in language.HINTED)}) AS m, {ext} AS el, {conf} AS ec FROM s), g AS (SELECT *, {best} AS bl, least(m, 0.8) AS sure FROM b)
+s AS (SELECT *{_hints_sql()} FROM h), b AS (SELECT *, greatest({', '.join('s_' + k for k in values.HINTED)}) AS m, {ext} AS el, {conf} AS ec FROM s), g AS (SELECT *, {best} AS bl, least(m, 0.8) AS sure FROM b)
 SELECT path, CASE WHEN m > 0 AND sure > ec THEN bl ELSE el END AS language, round(CASE WHEN m > 0 AND sure > ec THEN sure WHEN m > 0 AND bl = el THEN least(1.0, ec + 0.3 * sure) ELSE ec END, 6) AS confidence, CASE {kinds} ELSE 'source' END AS file_type FROM g"""
 
 
@@ -480,8 +485,8 @@ def symbols_typescript(spark, d):
 
 
 def _scan_sql() -> str:
-    kind = " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN '{k}'" for p, k in symbols.SCAN_RULES)
-    name = " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN regexp_extract(t, {_q(p)}, 1)" for p, _ in symbols.SCAN_RULES)
+    kind = " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN '{k}'" for p, k in values.DECLARATIONS)
+    name = " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN regexp_extract(t, {_q(p)}, 1)" for p, _ in values.DECLARATIONS)
     return f"WITH {_FILES_SQL}, {_LINES_SQL}, t AS (SELECT path, CAST(line_no AS INT) AS line_no, {_sql_trim('line')} AS t FROM l) SELECT * FROM (SELECT path, line_no, CASE {kind} END AS type, CASE {name} END AS name FROM t) WHERE type IS NOT NULL"
 
 
