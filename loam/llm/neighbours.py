@@ -39,13 +39,12 @@ SALTS = 32  # shares of the ids of one vector
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """id and vector (double) of the distinct ids with 64 finite numbers, not all zero.
+    """id and vector (in its own precision) of the distinct ids with 64 finite numbers, not all zero.
 
     A null id is no id.  Repeated rows count once; should one id have several vectors, the
     largest (by its elements in order) holds."""
-    v = F.col("vector").cast("array<double>")
     fine = (F.size("vector") == DIM) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return vectors.where(F.col("id").isNotNull() & fine).groupBy("id").agg(F.max(v).alias("vector"))
+    return vectors.where(F.col("id").isNotNull() & fine).groupBy("id").agg(F.max("vector").alias("vector"))
 
 
 def classes(rows: DataFrame, keep: int = K + 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -154,7 +153,7 @@ def within_ratio(at: np.ndarray, cos: np.ndarray, most: int, ratio: float) -> np
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, DIM)
 
 
 def fit(numbered: DataFrame) -> np.ndarray:
