@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -191,14 +192,17 @@ def pretokens(text: str | Column) -> Column:
 
 def _mapped(df: DataFrame, keep: list[str], text: str, kind: T.DataType, out: str, count: bool, vocabulary: str | None) -> DataFrame:
     path = vocabulary or default_vocabulary()
+    df.sparkSession.sparkContext.addFile(path)  # executors need not have it where the driver has
+    shipped = os.path.basename(path)
     chosen = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], pretokens(text).alias("pre"))
     schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("out", kind)])
     names = schema.names
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import SparkFiles
 
-        encoder = Encoder(path)
+        encoder = Encoder(SparkFiles.get(shipped))
         for batch in batches:
             ids, offsets = encoder.rows(batch.column(batch.num_columns - 1))
             if count:
