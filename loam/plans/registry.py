@@ -474,6 +474,16 @@ def file_connections(spark, d):
     return symbols.connections(_chunks(spark, d)).select("file_path", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"))
 
 
+@query(f"""WITH {_FILES_SQL}, {_LINES_SQL}, y AS (SELECT DISTINCT path, name, start_line FROM symbols WHERE start_line >= 1), a AS (SELECT path, line_no, regexp_matches({_sql_trim('line')}, '^(?://|/\\*|\\*|#|@)') AS told,
+ sum(length(replace(line, '}}', '')) - length(replace(line, '{{', ''))) OVER (PARTITION BY path ORDER BY line_no) AS depth FROM l),
+b AS (SELECT y.path, name, start_line, max(line_no) FILTER (line_no < start_line AND NOT told) AS above, min(line_no) FILTER (line_no BETWEEN start_line AND start_line + 50 AND depth <= was) AS closed, least(start_line + 50, max(line_no)) AS furthest
+ FROM (SELECT y.*, coalesce(p.depth, 0) AS was FROM y LEFT JOIN a p ON p.path = y.path AND p.line_no = y.start_line - 1) y JOIN a ON a.path = y.path GROUP BY y.path, name, start_line, was HAVING start_line <= max(line_no))
+SELECT path, name, start_line, CAST(coalesce(above, 0) + 1 AS INT) AS first, CAST(coalesce(closed, furthest) AS INT) AS last FROM b""")
+def logical_units(spark, d):
+    """Stored symbols widened to their comments and blocks."""
+    return C.logical_units(_files(spark, d), table(spark, d, "symbols").select("path", "name", "start_line").distinct())
+
+
 @query()
 def symbols_python(spark, d):
     return units.symbols(_files(spark, d), ("python",))
