@@ -25,8 +25,8 @@ def extensions(languages: list[str] | None = None) -> list[str]:
 
 
 def language_of(path: str | Column) -> Column:
-    pairs = [F.lit(x) for k, v in LANGUAGES.items() for e in v for x in (e, k)]
-    return F.try_element_at(F.create_map(*pairs), X.extension(path))
+    listed = ", ".join(f"'{e}', '{k}'" for k, v in LANGUAGES.items() for e in v)
+    return F.try_element_at(F.expr(f"map({listed})"), X.extension(path))
 
 
 def included(rel_path: str | Column, languages: list[str] | None = None) -> Column:

@@ -58,7 +58,8 @@ def hint_scores(content: str | Column) -> Column:
 def detect(path: str | Column, content: str | Column) -> Column:
     """The struct (language, confidence, file_type)."""
     ext = X.extension(path)
-    known = F.try_element_at(F.create_map(*[F.lit(k) if i == 0 else F.struct(F.lit(v[0]).alias("language"), F.lit(v[1]).alias("confidence")) for k, v in EXTENSIONS.items() for i in (0, 1)]), ext)
+    listed = ", ".join(f"'{k}', named_struct('language', '{name}', 'confidence', {sure}D)" for k, (name, sure) in EXTENSIONS.items())
+    known = F.try_element_at(F.expr(f"map({listed})"), ext)
     by_name = F.coalesce(known, F.struct(F.lit("text").alias("language"), F.lit(0.1).alias("confidence")))
     best = F.array_max(hint_scores(F.coalesce(X.col(content), F.lit(""))))
     sure = F.least(best["score"], F.lit(0.8))

@@ -272,11 +272,16 @@ def tree(tmp_path):
 
 
 def test_engine(spark, tree, tmp_path):
+    import os
+
+    from loam import worker
     from loam.plans.engine import Engine
 
     engine = Engine(spark, str(tmp_path / "index"))
     assert engine.describe() == "No codebase is indexed." and not engine.search("anything").success
-    assert engine.index_codebase(str(tree)) == 2
+    assert worker.run(spark, str(tmp_path / "index"), str(tree), "demo") == 0
+    said = usage.log_statistics(sources.read_logs(spark, sources.newest_log(spark, f"{tmp_path}/index/logs", "demo"))).first()
+    assert said["completed"] and said["chunks"] == 2 and said["started"] < said["ended"] and said["batches"] == 1
     for strategy in ("hybrid", "bm25", "vector"):
         r = engine.search("stale lock", str(tree), limit=1, strategy=strategy, connected=True)
         top = r.results.first()
@@ -290,38 +295,28 @@ def test_engine(spark, tree, tmp_path):
     assert engine.search_symbols(["parse_header"], str(tree)).results.first()["file_path"].endswith("parse.py")
     both = [r["id"] for r in engine.search("parse lock header stale", str(tree), rerank=False).results.collect()]
     assert [r["id"] for r in engine.search("parse lock header stale", str(tree), rerank=False, offset=1).results.collect()] == both[1:]
+    # a refresh writes only what changed
     assert engine.refresh(str(tree)) == {}
-    (tree / "src" / "parse.py").unlink()
-    (tree / "src" / "new.go").write_text("package p\n\nfunc Fetch() int {\n\treturn 1\n}\n")
-    assert engine.refresh(str(tree)) == {"added": 1, "deleted": 1}
-    assert engine.search("fetch", str(tree), limit=1).results.first()["file_path"].endswith("new.go")
-    assert engine.get_indexing_status(str(tree)).first()["total_chunks"] == 2 and engine.is_indexed(str(tree))
-    assert engine.update_chunk_count(str(tree)) == 2 and "2 chunks of 2 files" in engine.describe()
-    assert engine.chunk_ids(str(tree), str(tree / "src" / "new.go")).count() == 1
-    assert engine.clear_index() and not engine.clear_index(str(tree)) and engine.remove_orphans() == []
-
-
-def test_a_refresh_writes_only_what_changed(spark, tree, tmp_path):
-    from loam.plans.engine import Engine
-
-    engine = Engine(spark, str(tmp_path / "index"))
-    engine.index_codebase(str(tree))
     old = (tree / "src" / "lock.ts").read_text()
     (tree / "src" / "lock.ts").write_text(old.replace("stale", "fresh"))
-    assert engine.refresh(str(tree)) == {"modified": 1}
+    (tree / "src" / "parse.py").unlink()
+    (tree / "src" / "new.go").write_text("package p\n\nfunc Fetch() int {\n\treturn 1\n}\n")
+    assert engine.refresh(str(tree)) == {"added": 1, "deleted": 1, "modified": 1}
     entry = engine._entry(str(tree))
     batch = spark.read.parquet(f"{tmp_path}/index/chunks/namespace={entry['namespace']}/batch={entry['version']}")
-    assert [r["file_path"].rsplit("/", 1)[1] for r in batch.collect()] == ["lock.ts"]
-    shown = engine.search("stale fresh lock", str(tree), limit=9).results.collect()
+    assert sorted(r["file_path"].rsplit("/", 1)[1] for r in batch.collect()) == ["lock.ts", "new.go"]
+    shown = engine.search("stale fresh lock fetch", str(tree), limit=9).results.collect()
     assert len(shown) == 2 and not any("stale" in r["content"] for r in shown)
-    import os
-
+    assert engine.get_indexing_status(str(tree)).first()["total_chunks"] == 2 and engine.is_indexed(str(tree))
+    assert engine.update_chunk_count(str(tree)) == 2 and "2 chunks of 2 files" in engine.describe()
+    assert engine.chunk_ids(str(tree), str(tree / "src" / "new.go")).count() == 1
     os.utime(tree / "src" / "lock.ts", (1, 1))  # another time, the same content
-    assert engine.refresh(str(tree)) == {} and engine.refresh(str(tree)) == {}
+    assert engine.refresh(str(tree)) == {}
     (tree / "src" / "lock.ts").unlink()
-    (tree / "src" / "parse.py").unlink()
+    (tree / "src" / "new.go").unlink()
     assert engine.refresh(str(tree)) == {"deleted": 2}  # the last files leave nothing behind
-    assert engine.search("lock", str(tree)).results.count() == 0
+    assert engine.search("lock", str(tree), strategy="bm25").results.count() == 0
+    assert engine.clear_index() and not engine.clear_index(str(tree)) and engine.remove_orphans() == []
 
 
 def test_compaction_keeps_the_live_rows(spark, tree, tmp_path, monkeypatch):
@@ -368,15 +363,6 @@ def test_odd_roots_locks_and_failures(spark, tmp_path):
     assert engine._entry(str(root))["failed"] and engine.search("alpha", str(root)).results.count() == 1
 
 
-def test_worker_and_logs(spark, tree, tmp_path):
-    from loam import worker
-
-    assert worker.run(spark, str(tmp_path / "index"), str(tree), "demo") == 0
-    path = sources.newest_log(spark, f"{tmp_path}/index/logs", "demo")
-    row = usage.log_statistics(sources.read_logs(spark, path)).first()
-    assert row["completed"] and row["chunks"] == 2 and row["started"] < row["ended"] and row["batches"] == 1
-
-
 def test_small_functions(spark, tmp_path, tree):
     assert one(spark, X.duration(F.lit(61_500))) == "1m 1s" and one(spark, X.relative(F.lit("/a.b/c"), "/a.b")) == "c" and one(spark, X.relative(F.lit("/axb/c"), "/a.b")) == "/axb/c"
     keyed = spark.range(1).select(X.hmac_sha256("secret")(F.lit("key")).alias("h")).first()["h"]
